@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of at most so many bytes on disk is broadcast; a larger one is joined by shuffle.
@@ -78,6 +78,56 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def text_and_keys(docs: DataFrame) -> DataFrame:
+    """``text``, and what stands for a row: ``doc_id`` and a hash ``th`` of the text. Rows equal in both repeat a document."""
+    return docs.select(F.col("text").cast("string").alias("text"), "doc_id", F.xxhash64("text").alias("th"))
+
+
+def with_keys(docs: DataFrame, columns: str) -> str:
+    """A schema of ``columns`` and then those of :func:`text_and_keys` but the text."""
+    return f"{columns}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th bigint"
+
+
+def group_rows(rows: DataFrame, size: str) -> DataFrame:
+    """From ``same, doc_id, th`` (a null ``same`` equals nothing): ``doc_id, keeper_id, <size>, keep`` for each row.
+
+    The keeper has the least doc_id, nulls last, then the least text hash; ``keep`` is true for one row of each group.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    groups = rows.filter("same IS NOT NULL").groupBy(F.col("same").alias("group")).agg(F.min(order).alias("first"), F.count("*").alias("total"))
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("same", "doc_id", "th").orderBy(F.lit(1))))
+    alone = F.col("same").isNull()
+    return ranked.join(groups, F.col("same") == F.col("group"), "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keeper_id"),
+        F.coalesce("total", F.lit(1).cast("bigint")).alias(size),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("rn") == 1))).alias("keep"),
+    )
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, tag: str) -> DataFrame:
+    """``docs`` without the rows that are not the keeper of their group in ``rows`` (``same, doc_id, th``).
+
+    Only rows that have to go, or that are repeated, are listed and joined; texts move only if that list is large.
+    """
+    th, did, th2, first, rank = fresh(docs.columns, "_th", "_did", "_th2", "_first", "_rank")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    each = rows.filter("same IS NOT NULL").groupBy("same", "doc_id", "th").agg(F.count("*").alias("m"))
+    least = each.groupBy(F.col("same").alias("group")).agg(F.min(order).alias("keeper"), F.sum("m").alias("total")).filter("total > 1")
+    act = each.join(least, F.col("same") == F.col("group")).select(
+        F.col("doc_id").alias(did), F.col("th").alias(th2), (order == F.col("keeper")).alias(first), "m"
+    )
+    act = act.select(did, th2, F.col("m").alias(rank), F.when(F.col(first), F.lit(True)).otherwise(F.lit(False)).alias(first))
+    act = materialise(act.filter(~F.col(first) | (F.col(rank) > 1)).drop(rank), tag)
+    marked = docs.withColumn(th, F.xxhash64("text")).join(
+        broadcast_if_small(act), F.col("doc_id").eqNullSafe(F.col(did)) & (F.col(th) == F.col(th2)) & F.col("text").isNotNull(), "left"
+    )
+    single = marked.filter(F.col(first).isNull()).select(docs.columns)
+    others = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    several = marked.filter(F.col(first)).withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", th).orderBy(*others or [F.lit(1)])))
+    return single.unionByName(several.filter(F.col(rank) == 1).select(docs.columns))
+
+
 def text_views(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of a text column: (first row, row after the last, bytes, row starts with the end appended, null mask).
 

@@ -14,10 +14,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh, materialise, segment_positions, text_views
+from .common import group_rows, keep_one, segment_positions, text_and_keys, text_views, with_keys
 
 WINDOW = 16
 MIN_BYTES, MEAN_BITS, MAX_BYTES = 256, 10, 8192
@@ -99,7 +99,7 @@ def _recipe_rows(digest: Callable, width: int) -> Callable:
                 upto = np.searchsorted(ends, starts, "right")
                 whole = b"".join(ids)
                 recipes += [None if gone else whole[a * width : b * width] for a, b, gone in zip(upto[:-1].tolist(), upto[1:].tolist(), nulls.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(recipes, pa.binary()), *batch.columns[1:]], ["recipe", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(recipes, pa.binary()), *batch.columns[1:]], ["same", *batch.schema.names[1:]])
 
     return rows
 
@@ -114,13 +114,10 @@ def verified_digest(docs: DataFrame, text: str = "text", digests=DIGESTS) -> tup
     raise ValueError("every digest has collisions; add a longer one to DIGESTS")
 
 
-def recipes(docs: DataFrame, keys: dict, digests=DIGESTS) -> DataFrame:
-    """``recipe`` (binary list of verified identifiers; null for a null text) and the columns of ``keys`` for each row."""
+def recipes(docs: DataFrame, digests=DIGESTS) -> DataFrame:
+    """For each row ``same`` (its list of verified identifiers as bytes; null for a null text), ``doc_id, th``."""
     digest, width = verified_digest(docs, digests=digests)
-    cols = [F.col("text").cast("string").alias("text"), *(c.alias(k) for k, c in keys.items())]
-    part = docs.select(cols)
-    schema = "recipe binary, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[1:])
-    return part.mapInArrow(_recipe_rows(digest, width), schema)
+    return text_and_keys(docs).mapInArrow(_recipe_rows(digest, width), with_keys(docs, "same binary"))
 
 
 def exact_duplicates(docs: DataFrame, digests=DIGESTS) -> DataFrame:
@@ -131,17 +128,7 @@ def exact_duplicates(docs: DataFrame, digests=DIGESTS) -> DataFrame:
     nothing: such a row is its own keeper with one copy. Repeated rows (same id and text) count each, and one is kept.
     An empty table gives an empty result; further columns of any name are ignored.
     """
-    rec = recipes(docs, {"doc_id": F.col("doc_id")}, digests)
-    groups = (
-        rec.filter("recipe IS NOT NULL").groupBy(F.col("recipe").alias("same")).agg(F.min("doc_id").alias("keeper_id"), F.count("*").alias("n_copies"))
-    )
-    ranked = rec.withColumn("rn", F.row_number().over(Window.partitionBy("recipe", "doc_id").orderBy(F.lit(1))))
-    return ranked.join(groups, F.col("recipe") == F.col("same"), "left").select(
-        "doc_id",
-        F.when(F.col("recipe").isNull(), F.col("doc_id")).otherwise(F.col("keeper_id")).alias("keeper_id"),
-        F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"),
-        (F.col("recipe").isNull() | (F.col("doc_id").eqNullSafe(F.col("keeper_id")) & (F.col("rn") == 1))).alias("keep"),
-    )
+    return group_rows(recipes(docs, digests), "n_copies")
 
 
 def drop_exact_duplicates(docs: DataFrame, digests=DIGESTS) -> DataFrame:
@@ -149,19 +136,4 @@ def drop_exact_duplicates(docs: DataFrame, digests=DIGESTS) -> DataFrame:
 
     Of repeated rows (same id and text) the one whose remaining columns sort first stays. Null texts all stay.
     """
-    th, did, twice, rank = fresh(docs.columns, "_th", "_did", "_twice", "_rank")
-    rec = recipes(docs, {"doc_id": F.col("doc_id"), "th": F.xxhash64("text")}, digests).filter("recipe IS NOT NULL")
-    each = rec.groupBy("recipe", "doc_id", "th").agg(F.count("*").alias("m"))
-    least = each.groupBy(F.col("recipe").alias("same")).agg(F.min("doc_id").alias("keeper"), F.sum("m").alias("total")).filter("total > 1")
-    act = each.join(least, F.col("recipe") == F.col("same")).select(
-        F.col("doc_id").alias(did), F.col("th").alias("_th2"), F.col("doc_id").eqNullSafe(F.col("keeper")).alias(twice), "m"
-    )
-    act = broadcast_if_small(materialise(act.filter(f"NOT {twice} OR m > 1"), "exact-actions"))
-    marked = docs.withColumn(th, F.xxhash64("text")).join(
-        act, F.col("doc_id").eqNullSafe(F.col(did)) & (F.col(th) == F.col("_th2")) & F.col("text").isNotNull(), "left"
-    )
-    single = marked.filter(F.col(twice).isNull())
-    others = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
-    order = Window.partitionBy("doc_id", th).orderBy(*others or [F.lit(1)])
-    several = marked.filter(F.col(twice)).withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1)
-    return single.select(docs.columns).unionByName(several.select(docs.columns))
+    return keep_one(docs, recipes(docs, digests), "exact")
