@@ -154,3 +154,32 @@ def segment_positions(starts: np.ndarray) -> np.ndarray:
     """For each byte, its place in its row."""
     lengths = np.diff(starts)
     return np.arange(starts[-1], dtype=np.int64) - np.repeat(starts[:-1], lengths)
+
+
+_POWERS = np.multiply.accumulate(np.full(1024, 0x100000001B3, np.uint64))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words_of(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and first byte of each word; ``inside`` says of each byte value whether it belongs to words."""
+    within = inside[data]
+    first = within.copy()
+    first[1:] &= ~within[:-1]
+    heads = starts[:-1][np.diff(starts) > 0]
+    first[heads] = within[heads]
+    at = np.flatnonzero(within)
+    begin = np.flatnonzero(first[at])
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    lengths = np.diff(np.append(begin, len(at)))
+    place = np.arange(len(at)) - np.repeat(begin, lengths)
+    hashes = np.add.reduceat(_POWERS[place & 1023] * (data[at].astype(np.uint64) + np.uint64(1)), begin)
+    return np.searchsorted(starts, at[begin], "right") - 1, mix(hashes + lengths.astype(np.uint64)), at[begin]
