@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_cnn import quality_scores
 from .exact_dedup import exact_duplicates
 from .simhash import near_duplicates
+from .substring_dedup import without_repeats
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_docs(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -28,6 +33,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_quality": op9_quality,
 }
 
@@ -39,4 +45,25 @@ ORACLE_SQL = {
                text IS NULL OR row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS keep
         FROM documents WINDOW g AS (PARTITION BY text)
     """,
+    "op7_substring_dedup": r"""
+        WITH parts AS (
+            SELECT doc_id, unnest(regexp_extract_all(text, '\s*\S+')) AS part,
+                   generate_subscripts(regexp_extract_all(text, '\s*\S+'), 1) AS i
+            FROM documents),
+        lists AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
+        windows AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM lists WHERE len(w) >= 50),
+        later AS (
+            SELECT doc_id, p
+            FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY list_slice(w, p, p + 49) ORDER BY doc_id, p) AS n FROM windows)
+            WHERE n > 1),
+        marked AS (
+            SELECT parts.doc_id, part, i, coalesce(max(p) OVER (PARTITION BY parts.doc_id ORDER BY i) > i - 50, false) AS gone
+            FROM parts LEFT JOIN later ON later.doc_id = parts.doc_id AND later.p = parts.i),
+        kept AS (
+            SELECT doc_id, string_agg(part, '' ORDER BY i) FILTER (NOT gone) AS body, count(*) FILTER (gone) AS n
+            FROM marked GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN n IS NULL THEN text ELSE coalesce(body, '') || regexp_extract(text, '\s*$') END AS text,
+               coalesce(n, 0) AS n_removed
+        FROM documents LEFT JOIN kept USING (doc_id)
+    """,
 }

@@ -20,8 +20,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import broadcast_if_small, fresh, materialise, mix, release, text_and_keys, text_views, with_keys, words_of
+from .common import broadcast_if_small, fresh, materialise, mix, release, table_path, text_and_keys, text_views, words_of
 
 WINDOW = 50
 UNIT_BYTES = 8 << 20
@@ -39,8 +40,9 @@ def windows(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarr
     n = len(row)
     first = np.searchsorted(row, row, "left") if n else row
     at = np.flatnonzero(row[: n - window + 1] == row[window - 1 :]) if n >= window else np.zeros(0, np.int64)
-    up = np.multiply.accumulate(np.concatenate(([1], np.full(n, _BASE, np.uint64))).astype(np.uint64))
-    down = np.multiply.accumulate(np.concatenate(([1], np.full(n, _INVERSE, np.uint64))).astype(np.uint64))
+    one = np.ones(1, np.uint64)
+    up = np.multiply.accumulate(np.concatenate((one, np.full(n, _BASE, np.uint64))))
+    down = np.multiply.accumulate(np.concatenate((one, np.full(n, _INVERSE, np.uint64))))
     out = []
     for salt in _SALTS:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(word ^ np.uint64(salt)) * up[:n])))
@@ -137,48 +139,56 @@ def _flags(h1: np.ndarray, h2: np.ndarray, found: list[dict], bits: int) -> np.n
 def _window_rows(window: int, bits: int, path: str, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1)
-            order = np.argsort(np.asarray(ids.fill_null(2**63 - 1)), kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            th = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF
+            ids, th = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            gone = ids.is_null().to_numpy(zero_copy_only=False)
+            _, rank = np.unique(ids.fill_null(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            rank = np.where(gone, len(ids), rank)
             for i, j, data, starts, _ in text_views(batch.column(0), UNIT_BYTES):
                 row, place, h1, h2 = windows(data, starts, window)
                 if not len(h1):
                     continue
                 unit = _unit(data, starts)
                 keep = np.flatnonzero(_flags(h1, h2, _answers(path, unit % buckets, unit), bits))
-                row, place, h1, h2 = row[keep] + i, place[keep], h1[keep].view(np.int64), h2[keep].view(np.int64)
-                by = np.lexsort((place, th[row], rank[row], h2, h1))
-                later = np.zeros(len(by), bool)  # not the first of its kind even in this unit: nothing else has to be known
-                same = (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])
-                later[by[1:]] = same
-                mask = pa.array(later)
+                if not len(keep):
+                    continue
+                row, h1, h2 = row[keep] + i, h1[keep].view(np.int64), h2[keep].view(np.int64)
+                at = th[row] << 32 | place[keep]
+                by = np.lexsort((at, rank[row], h2, h1))
+                h1, h2, row, at = h1[by], h2[by], row[by], at[by]
+                again = np.zeros(len(by), bool)
+                again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+                head = np.maximum.accumulate(np.where(again, 0, np.arange(len(by))))
+                same = (rank[row] == rank[row[head]]) & (at == at[head])
+                send = ~(again & same)  # a repeated row stands where the first one does
+                mask = again[send]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1, mask=later), pa.array(h2, mask=later), ids.take(pa.array(row)), pa.array(place << 32 | th[row])], ["h1", "h2", "doc_id", "pt"]
+                    [pa.array(h1[send], mask=mask), pa.array(h2[send], mask=mask), ids.take(pa.array(row[send])), pa.array(at[send])], ["h1", "h2", "doc_id", "at"]
                 )
-                del mask
 
     return rows
 
 
-def _interval_rows(window: int):
+def runs(places: np.ndarray, window: int) -> list[int]:
+    """Begins and ends of the runs of words that windows at ``places`` cover."""
+    at = np.unique(places)
+    cut = np.flatnonzero(np.diff(at) > window) + 1
+    begin, last = at[np.concatenate(([0], cut))], at[np.concatenate((cut - 1, [len(at) - 1]))]
+    return np.stack((begin, last + window), axis=1).ravel().tolist()
+
+
+def _run_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            out = []
-            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                at = np.unique(values[i:j])
-                cut = np.flatnonzero(np.diff(at) > window) + 1
-                out.append(np.stack((at[np.concatenate(([0], cut))], at[np.concatenate((cut - 1, [len(at) - 1]))] + window), axis=1).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "th", "cut"])
+            out = [runs(values[i:j], window) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["id", "th", "cut"])
 
     return rows
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, th, cut`` for each row with words to cut: ``cut`` lists begins and ends of runs of words."""
+def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``id, th, cut`` for each document with words to cut: ``th`` are 32 bits of its text's hash, ``cut`` begins and ends of runs of words."""
     spark = docs.sparkSession
     keyed = text_and_keys(docs)
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -186,16 +196,75 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bits = max(16, (cells - 1).bit_length())
     range_bits = max(0, bits - (SPARE * RANGE_WINDOWS - 1).bit_length())
     buckets = max(1, total // (16 * UNIT_BYTES))
-    sketches = keyed.select("text").mapInArrow(_sketch_rows(window, bits, range_bits), "part bigint, unit bigint, n int, body binary")
+    sketches = keyed.mapInArrow(_sketch_rows(window, bits, range_bits), "part bigint, unit bigint, n int, body binary")
     answered = sketches.groupBy("part").applyInArrow(merge(1 << (bits - range_bits)), "unit bigint, part bigint, n int, bits binary")
     answered = answered.withColumn("bucket", F.pmod("unit", F.lit(buckets)))
-    from .common import table_path
-
     path = table_path(spark, "answers")
     answered.repartition("bucket").sortWithinPartitions("bucket", "unit").write.partitionBy("bucket").option("parquet.block.size", 1 << 20).parquet(path)
     release(spark)
-    found = keyed.mapInArrow(_window_rows(window, bits, path, buckets), with_keys(docs, "h1 bigint, h2 bigint").replace(", th bigint", ", pt bigint"))
-    found = found.select("*", F.col("doc_id").isNull().alias("last"))
-    rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("last", "doc_id", "pt"))
-    later = found.filter("h1 IS NOT NULL").withColumn("rank", rank).filter("rank > 1")
-    return later, found
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = keyed.mapInArrow(_window_rows(window, bits, path, buckets), f"h1 bigint, h2 bigint, doc_id {kind}, at bigint")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at")
+    known = found.filter("h1 IS NULL").select("doc_id", "at")
+    first = F.min(key).over(Window.partitionBy("h1", "h2"))
+    other = found.filter("h1 IS NOT NULL").withColumn("first", first).filter(key > F.col("first")).select("doc_id", "at")
+    later = known.unionByName(other)
+    places = later.groupBy("doc_id", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("places"))
+    return places.mapInArrow(_run_rows(window), f"id {kind}, th bigint, cut array<int>")
+
+
+def _cut_rows(text_at: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, lists = batch.column(text_at), batch.column(batch.num_columns - 1)
+            bodies, removed = text.to_pylist() if lists.null_count < len(lists) else None, np.zeros(len(batch), np.int64)
+            for k in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                bodies[k], removed[k] = cut_words(bodies[k], lists[k].as_py())
+            out = text if bodies is None else pa.array(bodies, text.type)
+            columns = [out if k == text_at else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*batch.schema.names[:-1], "n_removed"])
+
+    return rows
+
+
+def cut_words(text: str, cut: list[int]) -> tuple[str, int]:
+    """``text`` without the words of the runs ``cut`` and the white space before each of them; how many words these were."""
+    raw = text.encode()
+    inside = _SPACE[np.frombuffer(raw, np.uint8)]
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    ends = np.flatnonzero(edge == -1)
+    keep, at, n = [], 0, 0
+    for a, b in zip(cut[::2], cut[1::2]):
+        keep.append(raw[at : ends[a - 1] if a else 0])
+        at, n = ends[b - 1], n + b - a
+    return b"".join([*keep, raw[at:]]).decode(), n
+
+
+def _cut(docs: DataFrame, window: int, counted: str) -> DataFrame:
+    spark = docs.sparkSession
+    cuts = materialise(repeated_runs(docs, window), "cuts")
+    release(spark)
+    own, did, th, cut = fresh([*docs.columns, counted], "_own", "_did", "_th", "_cut")
+    cuts_ = broadcast_if_small(cuts).select(F.col("id").alias(did), F.col("th").alias(th), F.col("cut").alias(cut))
+    marked = docs.withColumn(own, F.shiftright(F.shiftleft(F.xxhash64("text"), 32), 32))
+    joined = marked.join(cuts_, F.col("doc_id").eqNullSafe(F.col(did)) & (F.col(own) == F.col(th)) & F.col("text").isNotNull(), "left")
+    schema = StructType([*docs.schema.fields, StructField(counted, LongType())])
+    return joined.select(*docs.columns, cut).mapInArrow(_cut_rows(docs.columns.index("text")), schema)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For each row of ``docs``: ``doc_id, text, n_removed``, with the words gone that repeat an earlier passage.
+
+    Words are runs of bytes other than white space. Of equal windows of ``window`` words the first in order of doc_id
+    (null ids last), of the text's hash for rows with equal ids, and of place stays; of all later ones, in the same
+    document too, every word goes with the white space before it. Rows equal in id and text count as one and are cut
+    alike. A null or empty text, or one of fewer words, stays as it is. An empty table gives an empty result; further
+    columns of any name are ignored.
+    """
+    return _cut(docs.select("doc_id", F.col("text").cast("string").alias("text")), window, "n_removed")
+
+
+def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the texts of :func:`without_repeats`; all rows and other columns stay as they are."""
+    (counted,) = fresh(docs.columns, "n_removed")
+    return _cut(docs, window, counted).drop(counted)
