@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_cnn import quality_scores
 from .exact_dedup import exact_duplicates
+from .packing import pack_conversations
 from .simhash import near_duplicates
 from .substring_dedup import without_repeats
+from .vocabulary import read_vocabulary
+
+#: A public vocabulary file; another path may be given here.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +27,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), read_vocabulary(VOCABULARY))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_docs(spark, sf_dir))
 
@@ -33,6 +42,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_quality": op9_quality,
 }
