@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_documents
 from .byte_cnn import quality_scores
 from .exact_dedup import exact_duplicates
+from .graph_index import nearest
+from .language_id import languages
 from .packing import pack_conversations
+from .sharding import shard
 from .simhash import near_duplicates
 from .substring_dedup import without_repeats
+from .token_counts import section_tokens
 from .vocabulary import read_vocabulary
 
 #: A public vocabulary file; another path may be given here.
@@ -27,6 +32,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_docs(spark, sf_dir))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_docs(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), read_vocabulary(VOCABULARY))
 
@@ -35,16 +52,29 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_docs(spark, sf_dir))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(_docs(spark, sf_dir), read_vocabulary(VOCABULARY))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_docs(spark, sf_dir), read_vocabulary(VOCABULARY), check=True)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op3_sharding": op3_sharding,
+    "op4_nearest": op4_nearest,
+    "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {
