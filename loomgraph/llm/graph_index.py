@@ -24,7 +24,7 @@ from .common import materialise, table_path
 
 #: Rows of a shard, and of a block of queries.
 SHARD_ROWS, BLOCK_ROWS = 16384, 4096
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 48, 64, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 128, 1.2
 #: Vertices that every search begins from, vertices expanded at once, and queries searched at once.
 ENTRIES, EXPAND, AT_ONCE = 32, 4, 256
 K = 10
