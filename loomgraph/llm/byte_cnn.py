@@ -99,6 +99,8 @@ def _gradients(model: dict, data: np.ndarray, starts: np.ndarray, target: np.nda
     """Gradients of the weighted log loss; only the positions that won a maximum carry any back to the filters."""
     ids, begin = padded(data, starts, HALF * STRIDE)
     y = _convolve(model, ids)
+    filled = -(-np.maximum(np.diff(starts), 1) // STRIDE)
+    y[np.arange(len(y)) - np.repeat(begin[:-1], np.diff(begin)) >= np.repeat(filled, np.diff(begin))] = -np.inf  # as in scoring
     halves = (np.diff(begin) - 1) // HALF
     first = np.concatenate(([0], np.cumsum(halves)))
     at = np.repeat(begin[:-1], halves) + (np.arange(first[-1]) - np.repeat(first[:-1], halves)) * HALF
