@@ -213,7 +213,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return places.mapInArrow(_run_rows(window), f"id {kind}, th bigint, cut array<int>")
 
 
-def _cut_rows(text_at: int):
+def _cut_rows(text_at: int, counted: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, lists = batch.column(text_at), batch.column(batch.num_columns - 1)
@@ -222,7 +222,7 @@ def _cut_rows(text_at: int):
                 bodies[k], removed[k] = cut_words(bodies[k], lists[k].as_py())
             out = text if bodies is None else pa.array(bodies, text.type)
             columns = [out if k == text_at else c for k, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*batch.schema.names[:-1], "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*batch.schema.names[:-1], counted])
 
     return rows
 
@@ -249,7 +249,7 @@ def _cut(docs: DataFrame, window: int, counted: str) -> DataFrame:
     marked = docs.withColumn(own, F.shiftright(F.shiftleft(F.xxhash64("text"), 32), 32))
     joined = marked.join(cuts_, F.col("doc_id").eqNullSafe(F.col(did)) & (F.col(own) == F.col(th)) & F.col("text").isNotNull(), "left")
     schema = StructType([*docs.schema.fields, StructField(counted, LongType())])
-    return joined.select(*docs.columns, cut).mapInArrow(_cut_rows(docs.columns.index("text")), schema)
+    return joined.select(*docs.columns, cut).mapInArrow(_cut_rows(docs.columns.index("text"), counted), schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
