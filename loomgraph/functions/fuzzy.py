@@ -12,7 +12,7 @@ LEAST, GOOD = 0.60, 0.80
 
 
 def best_ratio(query: str, name: str, qualified_name: str) -> float:
-    """The largest ratio of the lower-cased query with the name and, if it has a dot, with as long a tail of the qualified name and with the whole."""
+    """The largest ratio (any smaller number if it is below ``LEAST``) of the lower-cased query with the name and, if it has a dot, with as long a tail of the qualified name and with the whole."""
     against = [name.lower()]
     if "." in query:
         full = qualified_name.lower()
@@ -21,7 +21,13 @@ def best_ratio(query: str, name: str, qualified_name: str) -> float:
         if len(parts) >= count:
             against.append(".".join(parts[-count:]))
         against.append(full)
-    return max(SequenceMatcher(None, query, a).ratio() for a in against)
+    best = 0.0
+    for a in against:
+        m = SequenceMatcher(None, query, a)
+        least = max(best, LEAST - 1e-9)  # what can't count, or can't be the best, isn't worked out
+        if m.real_quick_ratio() >= least and m.quick_ratio() >= least:
+            best = max(best, m.ratio())
+    return best
 
 
 def fuzzy_score(ratio: float) -> float | None:
