@@ -1,6 +1,6 @@
 """Removal of passages that repeat anywhere in the corpus, with a count-min prefilter.
 
-A window is ``WINDOW`` words in a row. Pass one: each unit of about 8 MB of text makes a sparse count-min sketch of its
+A window is ``WINDOW`` words in a row. Pass one: each unit of about 4 MB of text makes a sparse count-min sketch of its
 windows (two rows of cells) and sends it, cut by ranges of cells, to the merging tasks; a merged range answers every unit
 with one bit for each of its cells: does it hold two or more? So no task ever holds the whole sketch, and both what is
 sent and what is held grow in proportion to the text. Pass two: a unit reads its answers, and only windows whose cells all
@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import broadcast_if_small, fresh, materialise, mix, release, table_path, text_and_keys, text_views, words_of
 
 WINDOW = 50
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 #: Rows of the sketch, cells for each window of the corpus in each row, and windows for each range of cells.
 DEPTH, SPARE, RANGE_WINDOWS = 2, 4, 4 << 20
 _SPACE = np.array([b not in b" \t\n\r\f" for b in range(256)])
