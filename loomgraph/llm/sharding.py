@@ -13,6 +13,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,9 +75,12 @@ def splitters(sample: DataFrame, shards: int, oversample: int = OVERSAMPLE) -> l
 def _range_rows(packed: bytes, key_at: int, names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, parts = pickle.loads(packed)
+        count = np.ones(len(cuts) + 1, np.int64)
+        count[list(parts)] = list(parts.values())
+        first = np.cumsum(count) - count
         for batch in batches:
-            at = [bisect_right(cuts, k) for k in batch.column(key_at).to_pylist()]
-            added = [pa.array(at, pa.int64()), pa.array([parts.get(k, 1) for k in at], pa.int64())]
+            at = np.array([bisect_right(cuts, k) for k in batch.column(key_at).to_pylist()], np.int64)
+            added = [pa.array(at), pa.array(count[at]), pa.array(first[at])][: len(names)]
             columns = [c for k, c in enumerate(batch.columns) if k != key_at]
             yield pa.RecordBatch.from_arrays([*columns, *added], [*(n for k, n in enumerate(batch.schema.names) if k != key_at), *names])
 
@@ -108,9 +112,11 @@ def shard(docs: DataFrame, keys: tuple[str, ...] = ("source", "doc_id"), target:
     lean = lean.mapInArrow(_range_rows(pickle.dumps((cuts, {})), 0, ["range", "part"]), "size bigint, range bigint, part bigint")
     measured = [(r["range"], r["bytes"]) for r in lean.groupBy("range").agg(F.sum("size").alias("bytes")).collect()]
     parts = {k: -(-b // target) for k, b in measured if b > slack * target}
-    (carried,) = fresh([*docs.columns, *names], "_key")
-    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
-    placed = docs.withColumn(carried, key).mapInArrow(_range_rows(pickle.dumps((cuts, parts)), len(docs.columns), names), schema)
+    carried, first = fresh([*docs.columns, *names], "_key", "_first")
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in (*names, first))])
+    placed = docs.withColumn(carried, key).mapInArrow(_range_rows(pickle.dumps((cuts, parts)), len(docs.columns), [*names, first]), schema)
     ident = F.xxhash64(F.lit(12), "doc_id", F.col("text"))
-    tasks = max(1, len(measured) - len(parts) + sum(parts.values()))
-    return placed.withColumn(names[1], F.pmod(ident, F.col(names[1]))).repartition(tasks, *names)
+    tasks = len(cuts) + 1 - len(parts) + sum(parts.values())
+    placed = placed.withColumn(names[1], F.pmod(ident, F.col(names[1])))
+    placed = placed.withColumn(first, (F.col(first) + F.col(names[1])).cast("int"))
+    return placed.repartitionById(tasks, F.col(first)).drop(first)
