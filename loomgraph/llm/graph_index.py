@@ -213,7 +213,7 @@ def _search_rows(path: str, k: int, beam: int, id_type: pa.DataType):
         for batch in batches:
             for dim, own, block, shard in zip(*(c.to_pylist() for c in batch.columns)):
                 a, ids, graph, entries = _load(path, dim, shard, None)
-                queries, _, vertices, _ = _load(path, dim, own, block)
+                queries, own_ids, vertices, _ = _load(path, dim, own, block)
                 norms = (a * a).sum(axis=1)
                 for i in range(0, len(queries), AT_ONCE):
                     q = queries[i : i + AT_ONCE]
@@ -234,9 +234,10 @@ def _search_rows(path: str, k: int, beam: int, id_type: pa.DataType):
                             pa.array([dim] * m, pa.int32()),
                             pa.array([own] * m, pa.int32()),
                             pa.array(vertices[i : i + m]),
+                            pa.array(own_ids[i : i + m], pa.list_(id_type)),
                             pa.array(out, pa.list_(pa.struct([("d", pa.float64()), ("id", id_type)]))),
                         ],
-                        ["dim", "shard", "vertex", "found"],
+                        ["dim", "shard", "vertex", "ids", "found"],
                     )
 
     return rows
@@ -273,9 +274,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     pairs = materialise(pairs, "pairs")
     tasks = max(1, pairs.count())
     spread = pairs.repartitionByRange(tasks, "dim", "other", "shard", "block").sortWithinPartitions("dim", "other", "shard", "block")
-    found = spread.mapInArrow(_search_rows(path, k, beam, id_type), f"dim int, shard int, vertex bigint, found array<struct<d:double,id:{kind}>>")
-    best = found.groupBy("dim", "shard", "vertex").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
-    each = read.select("dim", "shard", "vertex", F.explode("ids").alias("own")).join(best, ["dim", "shard", "vertex"])
+    found = spread.mapInArrow(_search_rows(path, k, beam, id_type), f"dim int, shard int, vertex bigint, ids array<{kind}>, found array<struct<d:double,id:{kind}>>")
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1)
+    best = found.groupBy("dim", "shard", "vertex").agg(F.first("ids").alias("ids"), merged.alias("found"))
+    each = best.select("found", F.explode("ids").alias("own"))
     others = F.slice(F.filter("found", lambda x: F.coalesce(x["id"] != F.col("own"), F.lit(True))), 1, k)
     flat = each.select("own", F.posexplode(others).alias("at", "x"))
     return flat.select(F.col("own").alias(id_col), (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("neighbor_id"), F.col("x.d").alias("distance"))
