@@ -36,14 +36,45 @@ def test_round_trip_and_public_encoder(texts):
 def test_heap_and_query_contract_alike():
     rng, known = random.Random(0), ranks(RAW)
     coder = B.bpe(RAW)
-    pieces = ["".join(rng.choice("aabcdeilnorst") for _ in range(n)) for n in (1, 2, 5, 30, 80, 400)]
-    coder.learn(pieces)
+    pieces = ["".join(rng.choice("aabcdeilnorst") for _ in range(n)) for n in (1, 2, 5, 30, 80, 400, 3000)]
+    got = coder.learn(pieces)
     for p in pieces:
         want = naive(p.encode(), known)
-        assert list(memoryview(coder.known[p]).cast("i")) == want
+        assert list(memoryview(got[p]).cast("i")) == want
         assert list(memoryview(coder.contract(p.encode())).cast("i")) == want
 
 
+def test_parts_are_cut_where_pieces_end():
+    rng, coder = random.Random(1), B.bpe(RAW)
+    bits = ["a", " ", "\n", "  ", "\t", " \n", "日本", "é", "'s", "12", "!?", "\x1c", "\x85", "\xa0", "word", " b", "\u2003"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+        want = encoder(RAW).encode_ordinary(text)
+        for limit in (1000, 9, 4):
+            parts = list(B.parts_of(text, limit))
+            assert "".join(parts) == text
+            assert [t for p in parts for t in coder.encode([p])[0].tolist()] == want
+
+
+def test_a_text_of_50_mb():
+    rng = random.Random(2)
+    some = [f"word{i} plain text, {i}\n" for i in range(5000)]
+    text = "".join(rng.choice(some) for _ in range(2_300_000)) + "ac" * 1500 + "日本語" * 300_000
+    assert len(text.encode()) > 50_000_000
+    coder = B.bpe(RAW)
+    tokens, starts = coder.encode([text])
+    assert coder.decode(tokens, starts) == [text.encode()]
+    assert tokens[:200_000].tolist() == encoder(RAW).encode_ordinary(text[:2_000_000])[:200_000]
+
+
+def test_what_was_asked_for_lately_stays():
+    r = B.Recent(2)
+    for k in "abcd":
+        r.add([k], [k.encode()])
+        assert r.find(["a"]) == [b"a"]
+    assert r.find(["b", "d"])[1] == b"d" and len(r.young) + len(r.old) <= 6
+
+
 def test_another_vocabulary():
     """Ranks where a pair made late outranks earlier ones, and ties lie side by side."""
     tokens = [bytes([b]) for b in range(256)] + [b"aa", b"aaa", b"ba", b"aab", b"\0a"]
