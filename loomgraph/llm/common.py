@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +19,13 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset, as in tests."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset in local mode, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = getattr(spark.sparkContext, "_loomgraph_dir", None)
         if named is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = spark.sparkContext._loomgraph_dir = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
     return named.rstrip("/")
 
@@ -50,12 +52,6 @@ def remove(*tables: DataFrame) -> None:
         hadoop.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop shuffle files of jobs that have ended."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table_bytes(table: DataFrame) -> int:
     spark = table.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._loomgraph_path)
@@ -156,7 +152,9 @@ def segment_positions(starts: np.ndarray) -> np.ndarray:
     return np.arange(starts[-1], dtype=np.int64) - np.repeat(starts[:-1], lengths)
 
 
-_POWERS = np.multiply.accumulate(np.full(1024, 0x100000001B3, np.uint64))
+#: Words of up to so many bytes are hashed in numpy, by sums of bytes times powers of two odd bases; longer ones by xxhash.
+SHORT_WORD = 256
+_POWERS = np.stack([np.multiply.accumulate(np.full(SHORT_WORD, base, np.uint64)) for base in (0x100000001B3, 0x9E6C63D0876A9A47)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -168,18 +166,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and first byte of each word; ``inside`` says of each byte value whether it belongs to words."""
+def words_of(data: np.ndarray, starts: np.ndarray, inside: np.ndarray, kinds: int = 1, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hashes (``kinds`` rows of independent 64-bit ones) and first byte of each word.
+
+    ``inside`` says of each byte value whether it belongs to words. With ``wide`` every character of three or four bytes is
+    a word of its own, since the scripts that have them mostly put no spaces between words.
+    """
     within = inside[data]
     first = within.copy()
     first[1:] &= ~within[:-1]
+    if wide and len(data) and data.max() >= 0xE0:
+        lead = (data & 0xC0) != 0x80
+        of = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))
+        big = data[of] >= 0xE0
+        first |= within & lead & (big | np.concatenate(([False], big[:-1])))
     heads = starts[:-1][np.diff(starts) > 0]
     first[heads] = within[heads]
     at = np.flatnonzero(within)
     begin = np.flatnonzero(first[at])
     if not len(begin):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros((kinds, 0), np.uint64), np.zeros(0, np.int64)
     lengths = np.diff(np.append(begin, len(at)))
-    place = np.arange(len(at)) - np.repeat(begin, lengths)
-    hashes = np.add.reduceat(_POWERS[place & 1023] * (data[at].astype(np.uint64) + np.uint64(1)), begin)
-    return np.searchsorted(starts, at[begin], "right") - 1, mix(hashes + lengths.astype(np.uint64)), at[begin]
+    place = np.minimum(np.arange(len(at)) - np.repeat(begin, lengths), SHORT_WORD - 1)
+    value = data[at].astype(np.uint64) + np.uint64(1)
+    hashes = np.stack([mix(np.add.reduceat(_POWERS[k][place] * value, begin) + lengths.astype(np.uint64)) for k in range(kinds)])
+    view, from_ = memoryview(np.ascontiguousarray(data)), at[begin]
+    for w in np.flatnonzero(lengths > SHORT_WORD).tolist():
+        whole = xxhash.xxh3_128_intdigest(view[from_[w] : from_[w] + lengths[w]])
+        hashes[:, w] = [whole & (2**64 - 1), whole >> 64][:kinds]
+    return np.searchsorted(starts, from_, "right") - 1, hashes, from_

@@ -4,7 +4,7 @@ A window is ``WINDOW`` words in a row. Pass one: each unit of about 4 MB of text
 windows (two rows of cells) and sends it, cut by ranges of cells, to the merging tasks; a merged range answers every unit
 with one bit for each of its cells: does it hold two or more? So no task ever holds the whole sketch, and both what is
 sent and what is held grow in proportion to the text. Pass two: a unit reads its answers, and only windows whose cells all
-say "two or more" are sent on, under two 64-bit hashes, to be grouped exactly. Counts of a sketch are never too low, so no
+say "two or more" are sent on, under two independent 64-bit hashes (of independent hashes of their words), to be grouped. Counts of a sketch are never too low, so no
 repeated window is lost; a unit that finds no answer under its content hash sends all its windows.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import broadcast_if_small, fresh, materialise, mix, release, table_path, text_and_keys, text_views, words_of
+from .common import broadcast_if_small, fresh, materialise, mix, table_path, text_and_keys, text_views, words_of
 
 WINDOW = 50
 UNIT_BYTES = 4 << 20
@@ -35,8 +35,8 @@ _SALTS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
 def windows(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place among the row's words, and two hashes of each window of whole words."""
-    row, word, _ = words_of(data, starts, _SPACE)
+    """Row, place among the row's words, and two hashes of each window of whole words, made from independent hashes of its words."""
+    row, words, _ = words_of(data, starts, _SPACE, 2)
     n = len(row)
     first = np.searchsorted(row, row, "left") if n else row
     at = np.flatnonzero(row[: n - window + 1] == row[window - 1 :]) if n >= window else np.zeros(0, np.int64)
@@ -44,7 +44,7 @@ def windows(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarr
     up = np.multiply.accumulate(np.concatenate((one, np.full(n, _BASE, np.uint64))))
     down = np.multiply.accumulate(np.concatenate((one, np.full(n, _INVERSE, np.uint64))))
     out = []
-    for salt in _SALTS:
+    for word, salt in zip(words, _SALTS):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(word ^ np.uint64(salt)) * up[:n])))
         out.append(mix((sums[at + window] - sums[at]) * down[at]))
     return row[at], (at - first[at]), out[0], out[1]
@@ -201,7 +201,6 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     answered = answered.withColumn("bucket", F.pmod("unit", F.lit(buckets)))
     path = table_path(spark, "answers")
     answered.repartition("bucket").sortWithinPartitions("bucket", "unit").write.partitionBy("bucket").option("parquet.block.size", 1 << 20).parquet(path)
-    release(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = keyed.mapInArrow(_window_rows(window, bits, path, buckets), f"h1 bigint, h2 bigint, doc_id {kind}, at bigint")
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at")
@@ -241,9 +240,7 @@ def cut_words(text: str, cut: list[int]) -> tuple[str, int]:
 
 
 def _cut(docs: DataFrame, window: int, counted: str) -> DataFrame:
-    spark = docs.sparkSession
     cuts = materialise(repeated_runs(docs, window), "cuts")
-    release(spark)
     own, did, th, cut = fresh([*docs.columns, counted], "_own", "_did", "_th", "_cut")
     cuts_ = broadcast_if_small(cuts).select(F.col("id").alias(did), F.col("th").alias(th), F.col("cut").alias(cut))
     marked = docs.withColumn(own, F.shiftright(F.shiftleft(F.xxhash64("text"), 32), 32))
@@ -258,8 +255,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Words are runs of bytes other than white space. Of equal windows of ``window`` words the first in order of doc_id
     (null ids last), of the text's hash for rows with equal ids, and of place stays; of all later ones, in the same
     document too, every word goes with the white space before it. Rows equal in id and text count as one and are cut
-    alike. A null or empty text, or one of fewer words, stays as it is. An empty table gives an empty result; further
-    columns of any name are ignored.
+    alike. A null or empty text, or one of fewer words, stays as it is. A very long text is read whole, in one unit, with
+    some tens of bytes of memory for each of its own. An empty table gives an empty result; further columns of any name are
+    ignored.
     """
     return _cut(docs.select("doc_id", F.col("text").cast("string").alias("text")), window, "n_removed")
 

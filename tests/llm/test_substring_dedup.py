@@ -53,6 +53,20 @@ def test_repeats_inside_a_document(make):
     check(make([(1, "a b c d " * 40), (2, "x"), (3, "a b c d " * 3)]), 8)
 
 
+def test_long_words_that_differ_in_places_a_kilobyte_apart(make, rng):
+    """Two bytes of a long word change places: nothing repeats, so nothing is cut."""
+    body = words(rng, 60)
+
+    def text(at, size):
+        w = ["x"] * size
+        w[at] = "A"
+        return " ".join([*body[:30], "".join(w), *body[30:]])
+
+    for size in (200, 257, 2048, 5000):
+        got = check(make([(1, text(5, size)), (2, text((5 + 1024) % size if size > 1029 else size - 3, size)), (3, text(5, size))]), 50)
+        assert [r.n_removed > 0 for r in sorted(got)] == [False, False, True]
+
+
 def test_odd(make, odd, clash, none):
     for docs in (odd.filter("doc_id IS NULL OR doc_id <> 7"), clash):
         check(docs, 2)
