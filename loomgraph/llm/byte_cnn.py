@@ -3,25 +3,31 @@
 Each byte has a learned vector; filters of 8 bytes move over the text in steps of 4. Their outputs are max-pooled over
 chunks of 512 bytes that overlap by half and cover the whole text, however long; the chunks' features are combined
 (maximum, mean and minimum) and a small layer gives one probability. Training takes a bounded sample of labelled rows
-(``MAX_TRAIN``); scoring reads every byte of every row.
+(``MAX_TRAIN`` rows of at most ``MAX_ROW_BYTES``, ``MAX_TRAIN_BYTES`` in all) and runs in one task, which sends back the network
+alone; scoring reads every byte of every row.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_views
 
 #: At most so many labelled rows train the network: those whose ids hash lowest.
 MAX_TRAIN = 5000
+#: Of these, texts of at most so many bytes, and so many bytes altogether, in the order of the hashes.
+MAX_ROW_BYTES, MAX_TRAIN_BYTES = 1 << 20, 64 << 20
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 4, 32, 16
 HALF = 64  # filter positions in half a chunk: 256 bytes
 PAD = 256
+#: Bytes of a long text that are convolved at once; a multiple of half a chunk's.
+BLOCK_BYTES = 1 << 20
 THRESHOLD = 0.5
 
 
@@ -43,7 +49,14 @@ def _convolve(model: dict, ids: np.ndarray) -> np.ndarray:
 
 
 def pooled(model: dict, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maxima of each filter in each half chunk, and where the rows' halves begin."""
+    """Maxima of each filter in each half chunk, and where the rows' halves begin; a single long row is taken in blocks."""
+    if len(starts) == 2 and len(data) > BLOCK_BYTES:
+        tops = []
+        for a in range(0, len(data), BLOCK_BYTES):
+            rest = data[a : a + BLOCK_BYTES + STRIDE]
+            tops.append(_block(model, rest) if len(data) - a > BLOCK_BYTES else pooled(model, rest, np.array([0, len(rest)]))[0])
+        top = np.concatenate(tops)
+        return top, np.array([0, len(top)])
     ids, begin = padded(data, starts)
     y = _convolve(model, ids)
     counts = np.diff(begin) - 1  # a row's last step only completes its last filter
@@ -55,6 +68,13 @@ def pooled(model: dict, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
     return np.maximum.reduceat(y, at, axis=0), first
 
 
+def _block(model: dict, data: np.ndarray) -> np.ndarray:
+    """The same for a block inside a row: ``BLOCK_BYTES``, and behind them what its last filter reaches."""
+    ids, _ = padded(data, np.array([0, len(data)]))
+    steps = BLOCK_BYTES // STRIDE
+    return np.maximum.reduceat(_convolve(model, ids)[:steps], np.arange(0, steps, HALF), axis=0)
+
+
 def _chunks(top: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The two halves of each chunk (the same one where a row has a single half), and where the rows' chunks begin."""
     halves = np.diff(first)
@@ -169,18 +189,25 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 1
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> tuple[list[bytes], list[int]]:
-    """Whole texts and labels of at most ``limit`` labelled rows, chosen by the hash of their ids."""
-    marked = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, limit_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
+    """``doc_id, body, quality``: whole texts and labels of a bounded number of labelled rows, chosen by the hash of their ids."""
+    marked = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
-    got = rows.orderBy("doc_id").collect()
-    return [r.text.encode() for r in got], [int(r.quality) for r in got]
+    texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("body")).filter(F.octet_length("body") <= MAX_ROW_BYTES)
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("body").alias("body"), F.min("quality").alias("quality"))
+    before = F.sum(F.octet_length("body")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < limit_bytes).drop("before")
+
+
+def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r["doc_id"], r["body"], r["quality"]) for batch in batches for r in batch.to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], ["model"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> dict | None:
-    return train(*training_rows(docs, labels, limit))
+    """Trains in one task, on rows that :func:`training_rows` bounds; the network has about 8,000 numbers."""
+    got = training_rows(docs, labels, limit).coalesce(1).mapInArrow(_train_rows, "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else None
 
 
 def _score_rows(model: dict | None, text_at: int, threshold: float, whole: bool):
@@ -207,8 +234,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     ``keep`` is ``quality_p >= threshold``. An empty text has probability 0. A null text has none (null) and isn't kept.
     Without labelled rows of both classes there is no network: probabilities are null and all rows with a text are
-    kept. Labels with null or other values are passed over; of repeated labels the least counts. Repeated rows are scored
-    each; further columns are ignored.
+    kept. Labels with null or other values are passed over; of repeated labels the least counts. A very long text is scored
+    in blocks, every byte of it. Repeated rows are scored each; an empty table gives an empty result; further columns of any
+    name are ignored.
     """
     base = docs.select(F.col("text").cast("string").alias("text"), "doc_id")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality_p double, keep boolean"
@@ -216,5 +244,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_scores` keeps, with all their columns; one pass, nothing is joined."""
+    """The rows of ``docs`` that :func:`quality_scores` keeps, with all their columns, whatever their names; one pass, nothing is joined.
+
+    Rows with a null or an empty text go, unless no network could be trained: then only null texts do. Repeated rows are
+    judged each; an empty table gives an empty result.
+    """
     return docs.mapInArrow(_score_rows(fit(docs, labels, limit), docs.columns.index("text"), threshold, True), docs.schema)

@@ -25,6 +25,8 @@ from .common import text_views
 ORDER = 3
 #: At most so many bytes of labelled texts train each language: whole texts, those whose ids hash lowest.
 TRAIN_BYTES = 2 << 20
+#: Bytes of text that are scored at once.
+BLOCK_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,12 +131,28 @@ def freeze(texts: dict[str, list[bytes]], order: int = ORDER) -> dict:
     return model
 
 
-def code_lengths(model: dict, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Bits of each row under each language."""
+def code_lengths(model: dict, data: np.ndarray, starts: np.ndarray, block: int = BLOCK_BYTES) -> np.ndarray:
+    """Bits of each row under each language; memory is bounded by ``block`` bytes, however long a row is."""
     n, rows = len(model["languages"]), len(starts) - 1
     out = np.zeros((rows, n))
-    if not len(data):
-        return out
+    for a in range(0, len(data), block):
+        b, lo = min(a + block, len(data)), max(0, a - model["order"])  # a byte's context may lie in the block before
+        first = int(np.searchsorted(starts, a, "right")) - 1
+        last = int(np.searchsorted(starts, b, "left"))
+        inner = np.concatenate(([lo], starts[first + 1 : last][starts[first + 1 : last] > lo])) if starts[first] <= lo else starts[first:last]
+        inner = np.append(inner[inner >= lo], b) - lo
+        if inner[0] > 0:  # bytes of an earlier row come before the block's first
+            inner = np.concatenate(([0], inner))
+        cost = _costs(model, data[lo:b], inner)[a - lo :]
+        cut = np.clip(starts[first : last + 1], a, b) - a
+        has = np.flatnonzero(np.diff(cut))
+        out[first + has] += np.add.reduceat(cost, cut[:-1][has], axis=0, dtype=np.float64)
+    return out
+
+
+def _costs(model: dict, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bits of each byte under each language."""
+    n = len(model["languages"])
     todo = np.arange(len(data))
     cost = np.zeros((len(data), n), np.float32)
     for k in range(model["order"], -1, -1):
@@ -153,9 +171,7 @@ def code_lengths(model: dict, data: np.ndarray, starts: np.ndarray) -> np.ndarra
         cost[todo[known]] += escapes.values[escapes.find(key[known] >> 8)]
         todo = todo[left]
     cost[todo] += 8.0
-    has = np.flatnonzero(np.diff(starts))
-    out[has] = np.add.reduceat(cost, starts[:-1][has], axis=0, dtype=np.float64)
-    return out
+    return cost
 
 
 def training_texts(docs: DataFrame, limit: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
@@ -214,7 +230,7 @@ def languages(docs: DataFrame, train: DataFrame | None = None, limit: int = TRAI
 
     Trees are trained on ``train`` (default: ``docs``), by its ``lang``. A null or empty text has no language (nulls), nor
     has any without labelled texts to train on. The first language in order of names wins a tie; with one language the
-    margin is 0. Repeated rows are scored each; an empty table gives an empty result; further columns are ignored.
+    margin is 0. A very long text is scored in blocks, each byte in its whole context. Repeated rows are scored each; an empty table gives an empty result; further columns are ignored.
     """
     texts = training_texts(docs if train is None else train, limit)
     kind = docs.schema["doc_id"].dataType.simpleString()

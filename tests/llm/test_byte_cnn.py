@@ -32,6 +32,28 @@ def test_scores_against_the_definition():
     assert np.allclose(got, [naive_score(model, t) for t in texts], atol=1e-4)
 
 
+def test_a_long_text_in_blocks(monkeypatch):
+    model = C._initial(np.random.default_rng(2))
+    rng = np.random.default_rng(3)
+    for n in (1024, 1025, 1027, 1028, 1029, 2048, 2500, 5003):
+        text = bytes(rng.integers(0, 256, n, dtype=np.uint8))
+        whole = C.score(model, *joined([text]))
+        monkeypatch.setattr(C, "BLOCK_BYTES", 1024)
+        assert np.allclose(C.score(model, *joined([text])), whole, atol=1e-6), n
+        monkeypatch.undo()
+
+
+def test_memory_for_50_mb():
+    import tracemalloc
+
+    model = C._initial(np.random.default_rng(2))
+    data = np.random.default_rng(4).integers(0, 256, 50_000_000).astype(np.uint8)
+    tracemalloc.start()
+    C.score(model, data, np.array([0, len(data)]))
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(1)
     model = {k: v.astype(np.float64) for k, v in C._initial(rng).items()}
@@ -44,9 +66,10 @@ def test_gradients_by_differences():
         return -(weight * (target * np.log(p) + (1 - target) * np.log(1 - p))).sum()
 
     g = C._gradients(model, *joined(texts), target, weight)
-    for name in ("v", "vb", "hb", "b"):
+    for name in ("v", "vb", "hb", "b", "h", "w", "embed"):
         flat, grad = model[name].reshape(-1), g[name].reshape(-1)
-        for i in range(min(6, len(flat))):
+        picked = range(min(6, len(flat))) if len(flat) < 100 else np.argsort(-np.abs(grad))[:6]
+        for i in picked:
             old = flat[i]
             flat[i] = old + 1e-5
             up = loss()

@@ -63,3 +63,21 @@ def test_odd(odd, clash, none):
     assert L.languages(odd).count() == odd.count()
     assert L.languages(none).count() == 0
     assert {r.language for r in L.languages(odd, none).collect()} == {None}
+
+
+def test_blocks_cut_nothing():
+    """Scores are the same however small the blocks, at every place of cut; and 50 MB take bounded memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    train = {x: [bytes(rng.choice(list(letters), 3000).astype(np.uint8))] for x, letters in (("a", b"abcd \n"), ("b", b"bcde "))}
+    model = L.freeze(train)
+    texts = [bytes(rng.choice(list(b"abcdef "), n).astype(np.uint8)) for n in (0, 1, 2, 3, 4, 5, 9, 0, 30, 1, 1, 100)]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    want = L.code_lengths(model, data, starts)
+    for block in range(1, 40):
+        assert np.allclose(L.code_lengths(model, data, starts, block), want, rtol=1e-5), block
+    tracemalloc.start()
+    L.code_lengths(model, np.resize(data, 50_000_000), np.array([0, 50_000_000]))
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
