@@ -17,7 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import (
+    BinaryType, BooleanType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField,
+    StructType, TimestampType,
+)
 
 from .common import fresh, materialise
 
@@ -45,9 +48,52 @@ def number_key(c: Column) -> Column:
     )
 
 
+def float_key(c: Column) -> Column:
+    """A double as a string that sorts as the number does: its sign, its decimal exponent and its digits, for negative ones
+    all turned round. -0.0 equals 0.0; NaN comes last, after infinity, as in Spark's own order."""
+    written = F.format_string("%.17e", F.abs(c.cast("double")))  # the shortest digits that tell a double from all others, and zeros
+    exponent = F.lpad((F.substring_index(written, "e", -1).try_cast("int") + 500).cast("string"), 3, "0")
+    body = F.concat(exponent, F.replace(F.substring_index(written, "e", 1), F.lit("."), F.lit("")))
+    infinite = F.abs(c) == float("inf")
+    return (
+        F.when(F.isnan(c), F.lit("5"))
+        .when(infinite, F.when(c > 0, F.lit("4")).otherwise(F.lit("0")))
+        .when(c == 0, F.lit("2"))
+        .when(c > 0, F.concat(F.lit("3"), body))
+        .otherwise(F.concat(F.lit("1"), F.translate(body, "0123456789", "9876543210")))
+    )
+
+
+def decimal_key(c: Column, precision: int, scale: int) -> Column:
+    """A decimal as a string of fixed width that sorts as the number does."""
+    body = F.to_char(F.abs(c), F.lit("0" * max(1, precision - scale) + ("." + "0" * scale if scale else "")))
+    return F.when(c < 0, F.concat(F.lit("0"), F.translate(body, "0123456789", "9876543210"))).otherwise(F.concat(F.lit("1"), body))
+
+
+def ordered_key(name: str, kind: DataType) -> Column:
+    """The column as a string that sorts as its values do; a kind that has no such form is an error."""
+    c = F.col(name)
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        return number_key(c)
+    if isinstance(kind, (FloatType, DoubleType)):
+        return float_key(c)
+    if isinstance(kind, DecimalType):
+        return decimal_key(c, kind.precision, kind.scale)
+    if isinstance(kind, BooleanType):
+        return c.cast("int").cast("string")
+    if isinstance(kind, DateType):
+        return number_key(F.unix_date(c).cast("bigint"))
+    if isinstance(kind, TimestampType):
+        return number_key(F.unix_micros(c))
+    if isinstance(kind, BinaryType):
+        return F.hex(c)
+    if isinstance(kind, StringType):
+        return c
+    raise TypeError(f"can't order ranges of {name}, which is {kind.simpleString()}")
+
+
 def _keyed(docs: DataFrame, keys: list[str]) -> Column:
-    kinds = dict(docs.dtypes)
-    return sort_key([number_key(F.col(k)) if kinds[k] in ("tinyint", "smallint", "int", "bigint") else F.col(k) for k in keys])
+    return sort_key([ordered_key(k, docs.schema[k].dataType) for k in keys])
 
 
 def splitters(sample: DataFrame, shards: int, oversample: int = OVERSAMPLE) -> list[bytes]:
@@ -93,7 +139,8 @@ def shard(docs: DataFrame, keys: tuple[str, ...] = ("source", "doc_id"), target:
     Ranges hold whole keys, nulls first. A range over ``slack * target`` bytes is subdivided into parts of about
     ``target`` by a hash of id and text; ``shard_part`` is 0 in others. Repeated rows stay in one part; a record larger
     than the target makes its part as large as itself. Sizes are bytes of text (a null text has none) and
-    ``RECORD_BYTES`` for each record. If a column is called ``shard`` or ``shard_part``, the new ones get a ``_`` more. An
+    ``RECORD_BYTES`` for each record. Keys may be whole numbers, floats (NaN last), decimals, booleans, dates, timestamps,
+    strings and bytes; others are a TypeError. A very long text moves whole. If a column is called ``shard`` or ``shard_part``, the new ones get a ``_`` more. An
     empty table gives an empty result.
     """
     names = fresh(docs.columns, "shard", "shard_part")
