@@ -17,3 +17,19 @@ def test_stages(spark):
     packed = P.STAGES[-1][1](spark, docs, sf).collect()
     assert sorted(r.doc_id for r in packed) == sorted(r.doc_id for r in docs.collect())
     assert sorted(map(tuple, P.run(spark, sf).collect())) == sorted(map(tuple, packed))
+
+
+def test_odd_tables(spark, odd, clash, none, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, other columns and empty tables go through every stage and the whole run."""
+    labels = spark.createDataFrame([(1, 1, 0), (7, 1, 0), (8, 0, 0), (10, 0, 0)], "doc_id bigint, quality int, toxic int")
+    for name, table in (("clash", clash), ("none", none), ("lean", odd.select("doc_id", "text"))):
+        sf = str(tmp_path / name)
+        table.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage, f in P.STAGES[:-1] if name == "clash" else ():
+            assert f(spark, docs, sf).columns == docs.columns, stage
+        out = P.run(spark, sf).collect()
+        ids = [r.doc_id for r in out]
+        assert len(ids) == len(set(ids)) and not {3, 4, 5, 6} & set(ids), "copies, null and empty texts are gone"
+        assert bool(ids) == (name != "none")
