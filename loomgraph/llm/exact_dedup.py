@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_rows, keep_one, segment_positions, text_and_keys, text_views, with_keys
+from .common import group_rows, keep_one, materialise, segment_positions, text_and_keys, text_views, with_keys
 
 WINDOW = 16
 MIN_BYTES, MEAN_BITS, MAX_BYTES = 256, 10, 8192
@@ -115,9 +115,12 @@ def verified_digest(docs: DataFrame, text: str = "text", digests=DIGESTS) -> tup
 
 
 def recipes(docs: DataFrame, digests=DIGESTS) -> DataFrame:
-    """For each row ``same`` (its list of verified identifiers as bytes; null for a null text), ``doc_id, th``."""
+    """For each row ``same`` (its list of verified identifiers as bytes; null for a null text), ``doc_id, th``.
+
+    They are written, since they are read more than once and texts should be cut only once for them.
+    """
     digest, width = verified_digest(docs, digests=digests)
-    return text_and_keys(docs).mapInArrow(_recipe_rows(digest, width), with_keys(docs, "same binary"))
+    return materialise(text_and_keys(docs).mapInArrow(_recipe_rows(digest, width), with_keys(docs, "same binary")), "recipes")
 
 
 def exact_duplicates(docs: DataFrame, digests=DIGESTS) -> DataFrame:
@@ -126,7 +129,8 @@ def exact_duplicates(docs: DataFrame, digests=DIGESTS) -> DataFrame:
     Rows with byte-equal texts form a group; ``keeper_id`` is its least doc_id (null ids come last), ``n_copies`` its rows,
     and ``keep`` is true for exactly one row, of that id. Empty texts are equal to one another. A null text equals
     nothing: such a row is its own keeper with one copy. Repeated rows (same id and text) count each, and one is kept.
-    An empty table gives an empty result; further columns of any name are ignored.
+    A very long text is cut whole; its recipe is about a 64th of it. An empty table gives an empty result; further columns
+    of any name are ignored.
     """
     return group_rows(recipes(docs, digests), "n_copies")
 
