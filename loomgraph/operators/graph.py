@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.schema import FILES, RELATIONSHIPS, SCHEMA_VERSION, SYMBOLS, normalise_symbols
-from loomgraph.storage import hadoop_path
+from loomgraph.storage import hadoop_path, swap
 
 TABLES = {"files": FILES, "symbols": SYMBOLS, "relationships": RELATIONSHIPS}
 
@@ -85,7 +86,8 @@ def delete_files(graph: Graph, ids: DataFrame) -> Graph:
 
 
 class GraphStore:
-    """Tables under one folder. Every change writes a new version and then points to it, so readers never see half a change."""
+    """Tables under one folder. Every change writes a new version and then points to it by renaming a file over the old
+    pointer, so readers never see half a change. The two versions before the current one stay, for readers that began on them."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -109,9 +111,11 @@ class GraphStore:
                 table = table.repartitionByRange("type", "source_id").sortWithinPartitions("type", "source_id")  # min-max statistics prune both
             table.write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
         p, fs = hadoop_path(self.spark, f"{self.path}/meta.json")
-        out = fs.create(p, True)
+        new, _ = hadoop_path(self.spark, f"{self.path}/_meta-{uuid.uuid4().hex}.json")
+        out = fs.create(new, True)
         out.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "version": version}).encode()))
         out.close()
+        swap(self.spark, new, p)
         for old in range(max(0, version - 2)):
             q, _ = hadoop_path(self.spark, f"{self.path}/v{old}")
             fs.delete(q, True)

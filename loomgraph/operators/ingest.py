@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -10,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import Graph, GraphStore
-from loomgraph.operators.resolve import resolve
+from loomgraph.operators.graph import Graph, GraphStore, delete_files, merge_results, update_relationships
+from loomgraph.operators.resolve import resolve, suffix_keys
 from loomgraph.plans.schema import RELATIONSHIPS, SYMBOLS, normalise_symbols
 from loomgraph.sources.python_parser import Parsed, parse
 from loomgraph.sources.tree import source_files
@@ -78,26 +79,54 @@ class IndexStats:
     errors: list[str] = field(default_factory=list)
 
 
+def _names(symbols: DataFrame) -> DataFrame:
+    """All names under which edges may ask for the symbols."""
+    return suffix_keys(symbols).select("key").unionByName(symbols.select(F.col("qualified_name").alias("key"))).distinct()
+
+
+def with_changes(before: Graph, found: Graph, removed: DataFrame | None = None) -> Graph:
+    """The graph with files of ``found`` in the place of what it had under their paths, and without the files ``removed`` (``id``).
+
+    Edges that name their target are asked for again where a symbol of that name has come, gone or changed, so the result is
+    that of indexing everything anew. Ids hold no line numbers; other edges into symbols that stay remain as they are.
+    """
+    stale = before.files.join(found.files.select("path"), "path", "left_semi").select("id")
+    stale = stale if removed is None else stale.unionByName(removed.select("id")).distinct()
+    old = before.symbols.join(stale.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(before.symbols.columns)
+    kept = delete_files(before, stale)
+    edges = kept.relationships.join(old.select(F.col("id").alias("source_id")), "source_id", "left_anti").select(before.relationships.columns)
+    merged = merge_results(Graph(kept.files, kept.symbols, edges), found)
+    touched = _names(old.unionByName(found.symbols.select(old.columns))).withColumnRenamed("key", "_touched")
+    lost = old.select(F.col("id").alias("_lost")).join(merged.symbols.select("id"), F.col("_lost") == F.col("id"), "left_anti")
+    edges = merged.relationships.join(touched, F.col("metadata")["target_name"] == F.col("_touched"), "left").join(lost, F.col("target_id") == F.col("_lost"), "left")
+    again = F.col("_touched").isNotNull() | F.col("_lost").isNotNull()
+    edges = edges.withColumn("target_id", F.when(again, F.lit("")).otherwise(F.col("target_id"))).withColumn("resolution", F.when(again, F.lit("unresolved")).otherwise(F.col("resolution")))
+    return Graph(merged.files, merged.symbols, edges.select(before.relationships.columns))
+
+
+def commit_resolved(store: GraphStore, graph: Graph) -> int:
+    """Resolves what can be, stores the graph in one change, and says how many edges found a target."""
+    updates, _ = written(resolve(graph), "resolved")
+    store.replace(Graph(graph.files, graph.symbols, update_relationships(graph.relationships, updates)))
+    return updates.count()
+
+
 def index(store: GraphStore, root: str, clear: bool = True, progress: Callable[[str, int, int], None] | None = None, incremental: bool = False) -> IndexStats:
-    """Indexes a tree into ``store``.
+    """Indexes a tree into ``store``, in one change of it.
 
     ``progress(path, number, total)`` is called for each file when its results are there. ``incremental`` analyses only
-    files whose path or content hash is new, and replaces what the graph had of them; it implies ``clear=False``.
+    files whose path or content hash is new, puts them in the place of what the graph had of them, drops files of the tree
+    that are no longer there, and ends with the graph that a full index gives; it implies ``clear=False``.
     """
     spark: SparkSession = store.spark
-    if clear and not incremental:
-        store.clear()
     files, _ = written(source_files(spark, root), "files")
     discovered = files.count()
+    before = store.graph() if incremental or not clear else Graph.empty(spark)
+    removed = None
     if incremental:
-        from loomgraph.operators.graph import delete_files
-
-        before = store.graph()
+        under = F.col("path").startswith(os.path.abspath(root).rstrip("/") + "/")
+        removed = before.files.filter(under).join(files.select("path"), "path", "left_anti").select("id")
         files, _ = written(files.join(before.files.select("path", "content_hash"), ["path", "content_hash"], "left_anti").select(files.columns), "changed")
-        stale = before.files.join(files.select("path"), "path", "left_semi").select("id")
-        gone = before.symbols.join(stale.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(F.col("id").alias("source_id"))
-        kept = delete_files(before, stale)
-        store.replace(Graph(kept.files, kept.symbols, kept.relationships.join(gone, "source_id", "left_anti").select(before.relationships.columns)))
     analysis, _ = written(analyze(files), "analysis")
     totals = analysis.agg(
         F.count_if(F.col("error").isNull()).alias("ok"), F.sum(F.size("symbols")).alias("symbols"), F.sum(F.size("relationships")).alias("relationships")
@@ -105,11 +134,8 @@ def index(store: GraphStore, root: str, clear: bool = True, progress: Callable[[
     if progress:
         for k, r in enumerate(analysis.select("path").toLocalIterator(), 1):
             progress(r.path, k, discovered)
-    store.store(analyzed_graph(files, analysis))
-    updates, _ = written(resolve(store.graph()), "resolved")
-    resolved = updates.count()
-    if resolved:
-        store.update(updates)
+    found = analyzed_graph(files, analysis)
+    resolved = commit_resolved(store, with_changes(before, found, removed) if incremental else merge_results(before, found))
     errors = [r.error for r in analysis.filter("error IS NOT NULL").select("error").orderBy("error").collect()]
     return IndexStats(discovered, totals.ok or 0, totals.symbols or 0, totals.relationships or 0, resolved, errors)
 

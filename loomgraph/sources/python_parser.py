@@ -38,6 +38,7 @@ class _Collector:
     def __init__(self, file_id: str, path: str, module: str, source: str):
         self.file_id, self.path, self.module, self.out = file_id, path, module or "__main__", Parsed()
         self.lines = [line.encode() for line in source.split("\n")]
+        self.counts: dict[tuple[str, str], int] = {}
         self.by_name: dict[str, str] = {}
         self.by_full: dict[str, str] = {}
 
@@ -88,8 +89,8 @@ class _Collector:
     # rows
 
     def symbol(self, name: str, full: str, kind: str, lines: tuple[int, int], parent: str | None, doc: str = "", signature: str = "", is_async: bool = False) -> str:
-        number = len(self.out.symbols)
-        new = _digest(self.path, kind, full, lines[0], number)
+        number = self.counts[kind, full] = self.counts.get((kind, full), -1) + 1
+        new = _digest(self.path, kind, full, number)  # no line, so that an edit elsewhere in the file leaves ids alone
         self.out.symbols.append(
             {
                 "id": new, "name": name, "qualified_name": full, "kind": kind, "language": "python", "file_id": self.file_id,
@@ -218,13 +219,37 @@ class _Collector:
             self.edge(caller, "CALLS", exact or near or "", c.lineno, c.col_offset, how, call_text=text, callee_name=callee)
 
 
+def _blocks(source: str) -> list[tuple[int, str]]:
+    """Top-level statements with their first lines: from each line that begins at the margin to the next one, decorators and
+    the following lines of brackets and strings left to whether a block parses."""
+    lines = source.split("\n")
+    heads = [k for k, x in enumerate(lines) if x[:1].strip() and x[0] not in ")]}#"] or [0]
+    glued = [k for i, k in enumerate(heads) if not i or not (lines[heads[i - 1]].startswith("@") or lines[k].split("(")[0].split(":")[0].strip() in ("else", "elif", "except", "finally"))]
+    return [(a, "\n".join(lines[a:b])) for a, b in zip(glued, [*glued[1:], len(lines)])]
+
+
+def _partial(source: str) -> ast.Module:
+    """What parses of a text that isn't valid as a whole: each top-level block by itself, at its own lines."""
+    body = []
+    for first, block in _blocks(source):
+        try:
+            tree = ast.parse(block)
+        except (SyntaxError, ValueError):
+            continue
+        body += ast.increment_lineno(tree, first).body
+    return ast.Module(body, [])
+
+
 def parse(file_id: str, path: str, module: str, source: str) -> Parsed:
-    """Rows of one file. A text that isn't valid Python gives its FILE symbol and an error."""
+    """Rows of one file. A text that isn't valid Python gives an error, its FILE symbol, and what its valid top-level blocks have."""
     c = _Collector(file_id, path, module, source)
     file = c.file()
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+    except SyntaxError as e:
+        c.out.error = f"{path}: {e}"
+        tree = _partial(source)
+    except (ValueError, RecursionError, MemoryError) as e:
         c.out.error = f"{path}: {e}"
         return c.out
     try:

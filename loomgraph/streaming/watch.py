@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomgraph.operators.graph import Graph, GraphStore, delete_files
-from loomgraph.operators.ingest import analyze, analyzed_graph
-from loomgraph.operators.resolve import resolve
+from loomgraph.operators.graph import GraphStore
+from loomgraph.operators.ingest import analyze, analyzed_graph, commit_resolved, with_changes
 from loomgraph.plans.schema import stable_id
 from loomgraph.storage import written
 
@@ -32,14 +31,8 @@ def apply_changes(store: GraphStore, changes: DataFrame) -> None:
     files, _ = written(as_files(changes), "changes")
     if files.isEmpty():
         return
-    before = store.graph()
-    stale = before.files.join(files.select("path"), "path", "left_semi").select("id")
-    gone = before.symbols.join(stale.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(F.col("id").alias("source_id"))
-    kept = delete_files(before, stale)
-    store.replace(Graph(kept.files, kept.symbols, kept.relationships.join(gone, "source_id", "left_anti").select(before.relationships.columns)))
     analysis, _ = written(analyze(files), "analysis")
-    store.store(analyzed_graph(files, analysis))
-    store.update(written(resolve(store.graph()), "resolved")[0])
+    commit_resolved(store, with_changes(store.graph(), analyzed_graph(files, analysis)))
 
 
 def index_stream(store: GraphStore, changes: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:

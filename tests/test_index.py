@@ -200,10 +200,49 @@ def test_incremental(spark, tree, tmp_path):
     assert store.graph().symbols.count() == before
     (root / "base.py").write_text("def only(): pass\n")
     result = ingest.index(store, str(root), incremental=True)
-    assert result.files_analyzed == 1 and store.graph().symbols.count() == before - 3 + 2 - 0
+    assert result.files_analyzed == 1 and store.graph().symbols.count() == before - 3 + 2
     assert ingest.index(store, str(root), clear=False).files_analyzed == 7
 
 
+def tables(store):
+    g = store.graph()
+    symbols = {(r.id, r.qualified_name, r.file_id, r.start_line, r.parent_id) for r in g.symbols.collect()}
+    edges = {(r.id, r.source_id, r.target_id, r.type, r.resolution) for r in g.relationships.collect()}
+    return {(r.id, r.path, r.content_hash) for r in g.files.collect()}, symbols, edges
+
+
+def test_incremental_equals_a_full_index(spark, tmp_path):
+    """After edits, moves and deletions the graph is that of indexing everything anew, edges into changed files included."""
+    root = tmp_path / "src"
+    root.mkdir()
+    write = lambda name, text: (root / name).write_text(text)
+    write("b.py", "class B:\n    def go(self): pass\n")
+    write("a.py", "from b import B\nfrom b.b import B\n\nclass A(B):\n    pass\n\ndef run():\n    return A()\n")
+    write("c.py", "from a import run\nclass C(A): pass\n")
+    write("z.py", "class Deep:\n    class B: pass\n")
+    store, full = (GraphStore(spark, (tmp_path / x).as_uri()) for x in ("store", "full"))
+    ingest.index(store, str(root))
+
+    def same():
+        result = ingest.index(store, str(root), incremental=True)
+        ingest.index(full, str(root))
+        assert tables(store) == tables(full)
+        return result.files_analyzed
+
+    write("b.py", "\n\nLIMIT = 1\n\nclass B:\n    def go(self): pass\n")  # the class moves down: its id stays
+    assert same() == 1
+    names = {r.id: r.qualified_name for r in store.graph().symbols.collect()}
+    assert {(names[r.source_id], names[r.target_id]) for r in store.graph().relationships.filter("type = 'EXTENDS'").collect()} == {("a.a.A", "b.b.B"), ("c.c.C", "a.a.A")}
+    (root / "c.py").unlink()
+    (root / "b.py").rename(root / "bb.py")
+    assert same() == 1
+    write("b.py", "class B: pass\n")
+    write("x.py", "B = 1\n")
+    assert same() == 2
+    (root / "z.py").unlink()
+    assert same() == 0
+
+
 def test_commands(spark, indexed, tree, tmp_path, capsys):
     run = lambda *a: cli.run(spark, ["--store", str(tree / "pkg"), *a])
     assert find_store(tree / "pkg") == tree / ".loomgraph"
