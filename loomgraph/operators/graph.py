@@ -18,11 +18,15 @@ TABLES = {"files": FILES, "symbols": SYMBOLS, "relationships": RELATIONSHIPS}
 
 @dataclass(frozen=True)
 class Graph:
-    """``files``, ``symbols`` (vertices) and ``relationships`` (directed edges; a target of '' is unresolved)."""
+    """``files``, ``symbols`` (vertices) and ``relationships`` (directed edges; a target of '' is unresolved).
+
+    ``incoming`` may be a copy of the relationships that is laid out by target, for walks against the edges.
+    """
 
     files: DataFrame
     symbols: DataFrame
     relationships: DataFrame
+    incoming: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:

@@ -4,8 +4,10 @@ A walk passes through edges of every type; ``rel_types`` selects afterwards, by
 behaviour; ``typed_frontier=True`` follows edges of those types alone.
 
 Only least depths are asked for, so each node is expanded once, at the depth where it is first reached: an edge f -> t first
-appears one below f. Each level is one join of the frontier with the edges, written to the shared folder; the frontier is
-broadcast only if its written size is small. ``engine="cte"`` runs one recursive query instead (for small depths).
+appears one below f. A level reads the edges of its frontier and no others: a small frontier goes into the scan as IN, where
+the layout by source (or by target, see ``Graph.incoming``) lets it skip the rest; a larger one is joined, broadcast only if its
+written size is small. What a level finds is written to the shared folder. ``engine="cte"`` runs one recursive query instead
+(for small depths).
 """
 
 from __future__ import annotations
@@ -25,39 +27,60 @@ BLAST_TYPES = ("CALLS", "IMPORTS", "REFERENCES")
 _ROWS = "from_id string, symbol_id string, depth int, rel_type string"
 
 
-def oriented(relationships: DataFrame, direction: str) -> DataFrame:
-    """Distinct ``src, dst, type`` in the direction of the walk; ``both`` has each edge either way round, any other word means out."""
-    known = relationships.filter("target_id <> '' AND source_id <> ''")
-    out = known.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "type")
-    back = known.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), "type")
-    return {"in": back, "both": out.unionByName(back)}.get(direction, out).distinct()
+#: A frontier of up to so many nodes is kept on the driver and pushed into the scan.
+PUSHED = 256
+
+
+def oriented(graph: Graph, direction: str, types=None) -> list[DataFrame]:
+    """``src, dst, type`` of the edges in the direction of the walk; ``both`` has each edge either way round, any other word means out."""
+
+    def known(edges: DataFrame, src: str, dst: str) -> DataFrame:
+        edges = edges.filter("target_id <> '' AND source_id <> ''")
+        edges = edges.filter(F.col("type").isin(*types)) if types else edges
+        return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "type")
+
+    out = known(graph.relationships, "source_id", "target_id")
+    back = known(graph.incoming if graph.incoming is not None else graph.relationships, "target_id", "source_id")
+    return {"in": [back], "both": [out, back]}.get(direction, [out])
 
 
 def walk_rows(graph: Graph, start: str, direction: str = "out", depth: int = 3, rel_types=None, typed_frontier: bool = False, engine: str = "loop") -> DataFrame:
-    """``from_id, symbol_id, depth, rel_type`` of every hop at its least depth, all types."""
+    """``from_id, symbol_id, depth, rel_type`` of every hop at its least depth, all types; rows of the last level may repeat."""
     spark = graph.spark
-    rels = graph.relationships
-    if typed_frontier and rel_types:
-        rels = rels.filter(F.col("type").isin(*rel_types))
-    edges = oriented(rels, direction)
+    sides = oriented(graph, direction, rel_types if typed_frontier else None)
     if depth <= 0:
         return spark.createDataFrame([], _ROWS)
     if engine == "cte":
-        return _recursive(spark, edges, start, depth)
-    if depth > 1:
-        edges, _ = written(edges.repartition("src"), "edges")
-    frontier, size = spark.createDataFrame([(start,)], "src string"), 0
-    seen, levels = frontier.select(F.col("src").alias("node")), []
+        return _recursive(spark, reduce(DataFrame.unionByName, sides).distinct(), start, depth)
+    few: list[str] | None = [start]  # the frontier, while it is small
+    past: set[str] | None = {start}  # all nodes so far, while there are few
+    frontier, size, seen, levels = None, 0, None, []
     for d in range(1, depth + 1):
-        hop = edges.join(sized(frontier, size), "src").select(F.col("src").alias("from_id"), F.col("dst").alias("symbol_id"), F.lit(d).alias("depth"), F.col("type").alias("rel_type"))
+        asked = [e.filter(F.col("src").isin(few)) if few is not None else e.join(sized(frontier, size), "src") for e in sides]
+        hop = reduce(DataFrame.unionByName, asked).select(F.col("src").alias("from_id"), F.col("dst").alias("symbol_id"), F.lit(d).alias("depth"), F.col("type").alias("rel_type"))
         if d == depth:  # the last level has no frontier after it, so it stays lazy
             levels.append(hop)
             break
-        hop, _ = written(hop, "hop")
+        hop, _ = written(hop.distinct(), "hop")
         levels.append(hop)
-        frontier, size = written(hop.select(F.col("symbol_id").alias("src")).distinct().join(seen, F.col("src") == F.col("node"), "left_anti"), "frontier")
-        if frontier.isEmpty():
+        reached = hop.select(F.col("symbol_id").alias("src")).distinct()
+        if past is not None:
+            got = [r.src for r in reached.limit(PUSHED + len(past) + 1).collect()]
+            if len(got) <= PUSHED + len(past):
+                few = [x for x in got if x not in past]
+                past |= set(few)
+                if not few:
+                    break
+                if len(past) <= 4 * PUSHED:
+                    continue
+                seen, past = spark.createDataFrame([(x,) for x in past], "node string"), None
+                continue
+            seen, past = spark.createDataFrame([(x,) for x in past], "node string"), None
+        frontier, size = written(reached.join(seen, F.col("src") == F.col("node"), "left_anti"), "frontier")
+        got = [r.src for r in frontier.limit(PUSHED + 1).collect()]
+        if not got:
             break
+        few = got if len(got) <= PUSHED else None
         seen = seen.unionByName(frontier.select(F.col("src").alias("node")))
     return reduce(DataFrame.unionByName, levels)
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import render
 from loomgraph.operators import graph as graphs
-from loomgraph.operators import lookup, resolve, search, stats, traverse
-from loomgraph.plans.derived import SQL_TABLES, derived_graph
+from loomgraph.operators import ingest, lookup, resolve, search, stats, traverse
+from loomgraph.plans import generated
+from loomgraph.plans.derived import SQL_TABLES, stored_graph
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(derived_graph(spark, sf_dir))
+            return f(stored_graph(spark, sf_dir))
 
         run.__name__ = key
         QUERIES[key] = run
@@ -340,3 +341,134 @@ def dot_lines(g):
 @query(_walk_sql("nation:3", "out", 2, edges=True).replace("SELECT * FROM found", "SELECT '  node_' || source_id || ' -- ' || type || ' --> node_' || target_id AS line FROM found"))
 def mermaid_lines(g):
     return render.mermaid_edge_lines(traverse.walk_edges(g, "nation:3", depth=2))
+
+
+#: One level below a vertex, in the order in which renderings list nodes and edges.
+_DRAWN = """
+, hops AS (SELECT DISTINCT target_id, type FROM relationships WHERE source_id = 'nation:3' AND target_id <> '' AND target_id IN (SELECT id FROM symbols)),
+nodes AS (SELECT s.id, s.qualified_name AS q, s.kind AS k, min(type) AS via FROM hops JOIN symbols s ON s.id = target_id GROUP BY ALL),
+root AS (SELECT id, qualified_name AS q, kind AS k FROM symbols WHERE id = 'nation:3'),
+lines(part, n, line) AS ({}),
+numbered AS (SELECT row_number() OVER (ORDER BY part, n) AS number, line FROM lines)
+SELECT number, line FROM numbered"""
+_NODE_ORDER, _EDGE_ORDER = "row_number() OVER (ORDER BY via, q, nodes.id)", "row_number() OVER (ORDER BY type, target_id)"
+
+
+def _drawing(g):
+    return render.Drawing(g, traverse.walk_graph(g, "nation:3", depth=1))
+
+
+def _document(g, text: str) -> DataFrame:
+    """The lines of a rendering that is made on the driver, of a walk that its depth bounds."""
+    return g.spark.createDataFrame(list(enumerate(text.split("\n"), 1)), "number bigint, line string")
+
+
+@query(_DRAWN.format(
+    f"""SELECT 1, 1, q || ' [' || k || ']' FROM root
+    UNION ALL SELECT 2, {_EDGE_ORDER}, CASE WHEN {_EDGE_ORDER} = (SELECT count(*) FROM hops) THEN chr(92) ELSE '|' END || '-- --[' || type || ']--> ' || q || ' [' || k || ']' FROM hops JOIN nodes ON target_id = id"""
+))
+def tree_document(g):
+    return _document(g, render.ascii_tree(_drawing(g)))
+
+
+@query(_DRAWN.format(
+    f"""SELECT 1, 1, 'graph LR'
+    UNION ALL SELECT 2, 1, '  node_' || id || '["' || q || '<br/>(' || k || ')"]:::rootClass' FROM root
+    UNION ALL SELECT 3, {_NODE_ORDER}, '  node_' || id || '["' || q || '<br/>(' || k || ')"]' FROM nodes
+    UNION ALL SELECT 4, {_EDGE_ORDER}, '  node_nation:3 -- ' || type || ' --> node_' || target_id FROM hops
+    UNION ALL SELECT 5, 1, '  classDef rootClass fill:#0288D1,stroke:#01579B,stroke-width:2px,color:#fff'"""
+))
+def mermaid_document(g):
+    return _document(g, render.mermaid(_drawing(g)))
+
+
+_FILL = "CASE k WHEN 'CLASS' THEN '#E1F5FE' WHEN 'INTERFACE' THEN '#E8EAF6' WHEN 'MODULE' THEN '#F3E5F5' END"
+_DOT_NODE = "'  node_' || id || ' [label=\"' || q || chr(92) || 'n[' || k || ']\", fillcolor=\"' || " + _FILL + " || '\", "
+
+
+@query(_DRAWN.format(
+    f"""SELECT 1, 1, 'digraph CodeGraph {{{{' UNION ALL SELECT 1, 2, '  rankdir="LR";'
+    UNION ALL SELECT 1, 3, '  node [shape="box", style="rounded,filled", fontname="Helvetica", fontsize=10];'
+    UNION ALL SELECT 1, 4, '  edge [fontname="Helvetica", fontsize=9];' UNION ALL SELECT 1, 5, ''
+    UNION ALL SELECT 2, 1, {_DOT_NODE}color="#0288D1", penwidth=2.0];' FROM root
+    UNION ALL SELECT 3, {_NODE_ORDER}, {_DOT_NODE}color="#B0BEC5", penwidth=1.0];' FROM nodes
+    UNION ALL SELECT 4, 0, ''
+    UNION ALL SELECT 4, {_EDGE_ORDER}, '  node_nation:3 -> node_' || target_id || ' [label="' || type || '", color="#BDBDBD", style="dotted"];' FROM hops
+    UNION ALL SELECT 5, 1, '}}}}'""".replace("{{", "{").replace("}}", "}")
+))
+def dot_document(g):
+    return _document(g, render.dot(_drawing(g)))
+
+
+@query("SELECT r.source_id AS for_id, s.id, r.id AS rel_id FROM relationships r JOIN symbols s ON r.target_id = s.id WHERE r.type = 'CALLS' AND s.id NOT LIKE '%7' AND r.source_id IN (SELECT id FROM symbols WHERE kind = 'CLASS' AND id NOT LIKE '%7')")
+def callees_where_some_are_missing(g):
+    left = graphs.Graph(g.files, g.symbols.filter("NOT endswith(id, '7')"), g.relationships)
+    return lookup.callees(left, left.symbols.filter("kind = 'CLASS'")).select("for_id", "id", "rel_id")
+
+
+def source_query(sql: str):
+    """Registers a function of generated source files."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = generated.SQL + sql
+        return f
+
+    return add
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = generated.generated_files(spark, sf_dir)
+    return files, ingest.analyze(files)
+
+
+@source_query(
+    "SELECT substr(path, 5) AS path, 'python' AS language, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size_bytes, m AS module FROM made "
+    "UNION ALL SELECT DISTINCT '/' || n || '/__init__.py', 'python', sha256(''), CAST(0 AS BIGINT), n || '.__init__' FROM made"
+)
+def discovered_files(spark, sf_dir):
+    found = generated.scanned_files(spark, sf_dir)
+    return found.select(F.substring("relative", 5, 10_000).alias("path"), "language", "content_hash", "size_bytes", "module")
+
+
+@source_query("SELECT * FROM symbols")
+def analyzed_symbols(spark, sf_dir):
+    _, found = _analysis(spark, sf_dir)
+    each = found.select("path", F.inline("symbols"), F.map_from_arrays(F.col("symbols.id"), F.col("symbols.qualified_name")).alias("names"))
+    return each.select("path", "name", "qualified_name", "kind", "start_line", "end_line", "signature", "docstring", "is_async", F.try_element_at("names", F.col("parent_id")).alias("parent"))
+
+
+@source_query("SELECT * FROM edges")
+def analyzed_edges(spark, sf_dir):
+    _, found = _analysis(spark, sf_dir)
+    each = found.select("path", F.inline("relationships"), F.map_from_arrays(F.col("symbols.id"), F.col("symbols.qualified_name")).alias("names"))
+    name = lambda c: F.coalesce(F.try_element_at("names", F.col(c)), F.lit(""))
+    return each.select(
+        "path", "type", name("source_id").alias("source"), name("target_id").alias("target"), "resolution", F.col("source_location.line").alias("line"),
+        F.col("source_location.col").alias("col"), F.col("metadata")["target_name"].alias("wanted"), F.col("metadata")["call_text"].alias("call_text"),
+    )
+
+
+@source_query("SELECT type, resolution, count(*) AS n FROM edges WHERE type = 'CALLS' GROUP BY ALL")
+def in_file_calls(spark, sf_dir):
+    _, found = _analysis(spark, sf_dir)
+    return found.select(F.inline("relationships")).filter("type = 'CALLS'").groupBy("type", "resolution").agg(F.count("*").alias("n"))
+
+
+@source_query(
+    "SELECT (SELECT count(*) FROM made) AS files_analyzed, (SELECT count(*) FROM symbols) AS symbols_extracted, (SELECT count(*) FROM edges) AS relationships_extracted, CAST(0 AS BIGINT) AS errors"
+)
+def index_totals(spark, sf_dir):
+    _, found = _analysis(spark, sf_dir)
+    return found.agg(
+        F.count_if(F.col("error").isNull()).alias("files_analyzed"), F.sum(F.size("symbols").cast("bigint")).alias("symbols_extracted"),
+        F.sum(F.size("relationships").cast("bigint")).alias("relationships_extracted"), F.count_if(F.col("error").isNotNull()).alias("errors"),
+    )
+
+
+@source_query("SELECT qualified_name, start_line, end_line, array_to_string(list_slice(string_split(text, chr(10)), start_line, end_line), chr(10)) AS body FROM symbols JOIN made USING (path)")
+def source_slice(spark, sf_dir):
+    files, found = _analysis(spark, sf_dir)
+    slices = ingest.source_slices(found.select(F.inline("symbols")), files)
+    names = found.select(F.inline("symbols")).select("id", "qualified_name")
+    return slices.join(names, "id").select("qualified_name", "start_line", "end_line", F.array_join("lines", "\n").alias("body"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import Graph
+from loomgraph.storage import written
 
 
 def _symbol(df: DataFrame, **columns) -> DataFrame:
@@ -92,6 +93,18 @@ def derived_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(files, every, rels)
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The derived graph, written once for each application: edges by type and source, and again by target."""
+    known = spark.sparkContext.__dict__.setdefault("_loomgraph_graphs", {})
+    if sf_dir not in known:
+        g = derived_graph(spark, sf_dir)
+        keep = lambda df, tag: written(df, tag)[0]
+        symbols = keep(g.symbols.repartitionByRange("id").sortWithinPartitions("id"), "symbols")
+        edges = keep(g.relationships.repartitionByRange("type", "source_id").sortWithinPartitions("type", "source_id"), "relationships")
+        known[sf_dir] = Graph(keep(g.files, "files"), symbols, edges, keep(edges.repartitionByRange("target_id").sortWithinPartitions("target_id", "type"), "incoming"))
+    return known[sf_dir]
+
+
 #: The same graph for SQL; ``relationships`` has ``target_name`` for the metadata.
 SQL_TABLES = """
 WITH RECURSIVE placed AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),

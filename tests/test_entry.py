@@ -31,6 +31,21 @@ def test_query_equals_its_sql(spark, tables, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(answer.fetchall(), columns)
 
 
+def test_likeness_against_brute_force(spark):
+    """SQL has no such ratio, so every symbol is scored here by the standard library."""
+    from difflib import SequenceMatcher
+
+    from loomgraph.plans.derived import stored_graph
+
+    text = "suplier#00000005"
+    every = [(r.id, r.name, r.qualified_name) for r in stored_graph(spark, SF).symbols.collect()]
+    raw = {i: SequenceMatcher(None, text, n.lower()).ratio() for i, n, _ in every}
+    score = lambda r: round(0.70 + (r - 0.80) * 0.45 if r >= 0.80 else 0.45 + (r - 0.60) * 0.70, 3)
+    want = sorted(((-score(raw[i]), 7 if raw[i] >= 0.80 else 8, -raw[i], q, i) for i, _, q in every if raw[i] >= 0.60))[:20]
+    got = catalogue.QUERIES["find_fuzzy"](spark, SF).collect()
+    assert [(-r.score, r.step, -r.raw, r.qualified_name, r.id) for r in got] == want and len(got) > 0
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
