@@ -1,3 +1,4 @@
+import random
 import time
 
 import numpy as np
@@ -90,6 +91,55 @@ def test_near_copies_against_brute_force(make, rng, monkeypatch, cell_rows):
     assert sum(r.keep for r in got.values()) == len({r.keeper_id for r in got.values()})
 
 
+def whole_groups(prints, threshold=S.THRESHOLD):
+    """The least row of each row's component of all pairs within the threshold, whatever they share."""
+    a, b = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= threshold)
+    label = np.arange(len(prints))
+    moved, to = S.forest(len(prints), a, b)
+    label[moved] = to
+    return label
+
+
+@pytest.mark.parametrize("few_rows", [S.FEW_ROWS, 30])
+def test_links_without_a_common_anchor(make, monkeypatch, few_rows):
+    """Pairs within the threshold are linked where no block of theirs is near, too, in one task or in many."""
+    monkeypatch.setattr(S, "FEW_ROWS", few_rows)
+    rng, rows = random.Random(11), []
+    for _ in range(80):
+        body = words(rng, 120)
+        for share in (0, 8, 9, 10):
+            rows.append((len(rows), " ".join(w if rng.randrange(100) >= share else f"new{rng.randrange(10**6)}" for w in body)))
+    prints, _ = prints_of([t for _, t in rows])
+    want = whole_groups(prints)
+    assert (want != brute_groups(rows)).sum() > 5, "anchors alone don't find these"
+    got = {r.doc_id: r.keeper_id for r in S.near_duplicates(make(rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == want.tolist()
+    kept = S.drop_near_duplicates(make(rows)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want.tolist()))
+
+
+@pytest.mark.parametrize("threshold", [0, 7, 44, 70])
+def test_merging_against_brute_force(threshold):
+    """Also for other thresholds, hot values, large clusters and some rows that are connected already."""
+    rng = np.random.default_rng(threshold)
+    n = 400 if threshold == 70 else 1500
+    prints = rng.integers(0, 2**63, (n // 3, 4)).astype(np.uint64)[rng.integers(0, n // 3, n)]
+    prints[n // 2 :, 0] = prints[0, 0]
+    prints[: n // 5] = prints[0]
+    for i in range(n):
+        for bit in rng.choice(256, rng.integers(0, threshold * 3 // 4 + 2), replace=False):
+            prints[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= threshold
+    for split in (0, n // 3):
+        for label in (np.arange(n), np.unique(np.where(np.arange(n) < n // 10, 0, np.arange(n)), return_inverse=True)[1]):
+            a, b = np.nonzero(near[: split or n, split:])
+            want, got = np.arange(label.max() + 1), np.arange(label.max() + 1)
+            for to, (x, y) in ((want, (label[a], label[b + split])), (got, S.merge(prints, label, split, threshold))):
+                moved, root = S.forest(len(to), x, y)
+                to[moved] = root
+            assert got.tolist() == want.tolist()
+
+
 def test_setting_aside_keeps_components():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 2**63, (40, 4)).astype(np.uint64)[rng.integers(0, 40, 600)]
