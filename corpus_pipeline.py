@@ -30,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near copies, the least doc_id (nulls last); texts without a word all stay."""
+    """One of each component of all pairs of near copies, the least doc_id (nulls last); texts without a word all stay."""
     return drop_near_duplicates(docs)
 
 

@@ -1,5 +1,9 @@
+import random
+
 import corpus_pipeline as P
 from loomgraph.llm import substring_dedup
+from tests.llm.conftest import words
+from tests.llm.test_simhash import brute_groups, prints_of, whole_groups
 
 
 def test_stages(spark):
@@ -33,3 +37,16 @@ def test_odd_tables(spark, odd, clash, none, tmp_path):
         ids = [r.doc_id for r in out]
         assert len(ids) == len(set(ids)) and not {3, 4, 5, 6} & set(ids), "copies, null and empty texts are gone"
         assert bool(ids) == (name != "none")
+
+
+def test_near_links_without_a_common_anchor(spark, make):
+    """The near stage keeps one of each component of all pairs within the threshold, also of pairs that no block brings together."""
+    rng, rows = random.Random(12), []
+    for _ in range(60):
+        body = words(rng, 120)
+        for share in (0, 8, 9, 10):
+            rows.append((len(rows), " ".join(w if rng.randrange(100) >= share else f"new{rng.randrange(10**6)}" for w in body)))
+    want = whole_groups(prints_of([t for _, t in rows])[0])
+    assert (want != brute_groups(rows)).sum() > 5, "anchors alone don't find these"
+    got = dict(P.STAGES)["near"](spark, make(rows), "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(want.tolist()))
