@@ -26,8 +26,8 @@ MAX_ROW_BYTES, MAX_TRAIN_BYTES = 1 << 20, 64 << 20
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 4, 32, 16
 HALF = 64  # filter positions in half a chunk: 256 bytes
 PAD = 256
-#: Bytes of a long text that are convolved at once; a multiple of half a chunk's.
-BLOCK_BYTES = 1 << 20
+#: Bytes that are convolved at once, of several texts or of a long one, at some 110 bytes of memory for each; a multiple of half a chunk's.
+BLOCK_BYTES = 1 << 18
 THRESHOLD = 0.5
 
 
@@ -215,7 +215,7 @@ def _score_rows(model: dict | None, text_at: int, threshold: float, whole: bool)
         for batch in batches:
             text = batch.column(text_at)
             out = np.full(len(batch), np.nan)
-            for i, j, data, starts, _ in text_views(text):
+            for i, j, data, starts, _ in text_views(text, BLOCK_BYTES):
                 if model is not None:
                     out[i:j] = np.where(np.diff(starts) > 0, score(model, data, starts), 0.0)
             null = text.is_null().to_numpy(zero_copy_only=False)

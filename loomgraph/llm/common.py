@@ -154,6 +154,8 @@ def segment_positions(starts: np.ndarray) -> np.ndarray:
 
 #: Words of up to so many bytes are hashed in numpy, by sums of bytes times powers of two odd bases; longer ones by xxhash.
 SHORT_WORD = 256
+#: Bytes of words that are hashed at once, at some 50 bytes of memory for each.
+WORDS_AT_ONCE = 1 << 17
 _POWERS = np.stack([np.multiply.accumulate(np.full(SHORT_WORD, base, np.uint64)) for base in (0x100000001B3, 0x9E6C63D0876A9A47)])
 
 
@@ -182,16 +184,24 @@ def words_of(data: np.ndarray, starts: np.ndarray, inside: np.ndarray, kinds: in
         first |= within & lead & (big | np.concatenate(([False], big[:-1])))
     heads = starts[:-1][np.diff(starts) > 0]
     first[heads] = within[heads]
-    at = np.flatnonzero(within)
-    begin = np.flatnonzero(first[at])
+    begin = np.flatnonzero(first)
+    hashes = np.zeros((kinds, len(begin)), np.uint64)
     if not len(begin):
-        return np.zeros(0, np.int64), np.zeros((kinds, 0), np.uint64), np.zeros(0, np.int64)
-    lengths = np.diff(np.append(begin, len(at)))
-    place = np.minimum(np.arange(len(at)) - np.repeat(begin, lengths), SHORT_WORD - 1)
-    value = data[at].astype(np.uint64) + np.uint64(1)
-    hashes = np.stack([mix(np.add.reduceat(_POWERS[k][place] * value, begin) + lengths.astype(np.uint64)) for k in range(kinds)])
-    view, from_ = memoryview(np.ascontiguousarray(data)), at[begin]
+        return np.zeros(0, np.int64), hashes, begin
+    lengths = np.add.reduceat(within, begin, dtype=np.int64)
+    short = np.minimum(lengths, SHORT_WORD)
+    ends, i = np.cumsum(short), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WORDS_AT_ONCE, "right")))
+        size = short[i:j]
+        own = np.cumsum(size) - size
+        place = np.arange(own[-1] + size[-1]) - np.repeat(own, size)
+        value = data[place + np.repeat(begin[i:j], size)].astype(np.uint64) + np.uint64(1)
+        for k in range(kinds):
+            hashes[k, i:j] = mix(np.add.reduceat(_POWERS[k][place] * value, own) + lengths[i:j].astype(np.uint64))
+        i = j
+    view = memoryview(np.ascontiguousarray(data))
     for w in np.flatnonzero(lengths > SHORT_WORD).tolist():
-        whole = xxhash.xxh3_128_intdigest(view[from_[w] : from_[w] + lengths[w]])
+        whole = xxhash.xxh3_128_intdigest(view[begin[w] : begin[w] + lengths[w]])
         hashes[:, w] = [whole & (2**64 - 1), whole >> 64][:kinds]
-    return np.searchsorted(starts, from_, "right") - 1, hashes, from_
+    return np.searchsorted(starts, begin, "right") - 1, hashes, begin

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import byte_cnn as C
@@ -54,6 +55,20 @@ def test_memory_for_50_mb():
     tracemalloc.stop()
 
 
+def test_memory_for_a_batch_of_texts():
+    """Executors have room for some tens of MB beside the batch, however many texts it has."""
+    import tracemalloc
+
+    model = C._initial(np.random.default_rng(2))
+    letters = np.random.default_rng(4).integers(97, 123, 8_000_000).astype(np.uint8).tobytes().decode()
+    for size in (2000, 200_000, 8_000_000):
+        batch = pa.RecordBatch.from_arrays([pa.array([letters[i : i + size] for i in range(0, len(letters), size)])], ["text"])
+        tracemalloc.start()
+        assert len(next(C._score_rows(model, 0, 0.5, False)(iter([batch])))) == len(batch)
+        assert tracemalloc.get_traced_memory()[1] < 60e6, size
+        tracemalloc.stop()
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(1)
     model = {k: v.astype(np.float64) for k, v in C._initial(rng).items()}

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 
+from loomgraph.llm import common
 from loomgraph.llm import substring_dedup as D
 from tests.llm.conftest import words
 
@@ -107,3 +108,23 @@ def test_prefilter_sends_few_windows_and_loses_none():
             flagged += flags.mean() / 38
     assert flagged < 0.3
     assert D._flags(units[0][1], units[0][2], [], bits).all(), "without an answer every window is sent"
+
+
+def test_words_are_hashed_in_parts(monkeypatch):
+    """What is hashed at once, also within a row or with words longer than that, changes nothing; memory is a few times the words'."""
+    import tracemalloc
+
+    texts = [b"one two  three", b"", b" ", b"x" * 255 + b" " + b"y" * 256 + b" " + b"z" * 257, "naïve 日本語 café".encode(), b"two" * 300 + b" two", b"two"]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    whole = common.words_of(data, starts, D._SPACE, 2)
+    assert whole[0].tolist() == [k for k, t in enumerate(texts) for _ in t.split()]
+    assert len({*zip(*whole[1].tolist())}) == len({w for t in texts for w in t.split()}), "equal words alone have equal hashes"
+    for size in (1, 5, 256, 300):
+        monkeypatch.setattr(common, "WORDS_AT_ONCE", size, raising=False)
+        assert all((a == b).all() for a, b in zip(whole, common.words_of(data, starts, D._SPACE, 2))), size
+    monkeypatch.undo()
+    many = np.frombuffer(b"abcde " * (D.UNIT_BYTES // 6), np.uint8)
+    tracemalloc.start()
+    common.words_of(many, np.array([0, len(many)]), D._SPACE, 2)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
