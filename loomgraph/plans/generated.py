@@ -23,6 +23,8 @@ LINES = [
     "'def make_' || k || '():'", "'    return Customer' || k || '()'",
 ]
 TEXT = "concat_ws(chr(10), " + ", ".join(LINES) + ", '')"
+#: Files that a task makes, and works on after that.
+FILES_A_PART = 2_000
 _SOURCE = "SELECT c_custkey AS k, lower(n_name) AS n, n_nationkey AS nk, c_mktsegment AS s FROM customer JOIN nation ON c_nationkey = n_nationkey"
 
 
@@ -31,22 +33,31 @@ def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
     base = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     base = base.select(F.col("c_custkey").alias("k"), F.lower("n_name").alias("n"), F.col("n_nationkey").alias("nk"), F.col("c_mktsegment").alias("s"))
+    base = base.repartition(-(-customer.count() // FILES_A_PART) or 1, "k")  # the table is small, its files are not
     files = base.select(F.expr("'/gen/' || n || '/c' || k || '.py'").alias("path"), F.lit("python").alias("language"), F.expr("n || '.c' || k").alias("module"), F.expr(TEXT).alias("text"))
     return files.select(stable_id(F.lit("file"), F.col("path")).alias("id"), "*", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("bigint").alias("size_bytes"))
 
 
+def _write(place: str, body: bytes) -> None:
+    with open(place, "wb") as f:
+        f.write(body)
+
+
 def _write_rows(root: str):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folders = set()  # what is once in a folder is written once by a task
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"]):
                 place = root + path
-                for folder in (os.path.dirname(place), os.path.dirname(place) + "/build"):
-                    os.makedirs(folder, exist_ok=True)
-                files = {place: text.encode(), os.path.dirname(place) + "/__init__.py": b"", os.path.dirname(place) + "/build/skipped.py": b"x = 1\n"}
-                files |= {place[:-3] + ".txt": b"no source", place[:-3] + "_latin.py": b"# \xe9\n"}
-                for name, body in files.items():
-                    with open(name, "wb") as f:
-                        f.write(body)
+                folder = os.path.dirname(place)
+                if folder not in folders:
+                    folders.add(folder)
+                    os.makedirs(folder + "/build", exist_ok=True)
+                    _write(folder + "/__init__.py", b"")
+                    _write(folder + "/build/skipped.py", b"x = 1\n")
+                _write(place, text.encode())
+                _write(place[:-3] + ".txt", b"no source")
+                _write(place[:-3] + "_latin.py", b"# \xe9\n")
             yield pd.DataFrame({"n": [len(batch)]})
 
     return rows
