@@ -7,15 +7,17 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from loomgraph.operators.graph import Graph, GraphStore, delete_files, merge_results, update_relationships
 from loomgraph.operators.resolve import resolve, suffix_keys
 from loomgraph.plans.schema import RELATIONSHIPS, SYMBOLS, normalise_symbols
 from loomgraph.sources.python_parser import Parsed, parse
-from loomgraph.sources.tree import source_files
+from loomgraph.sources.tree import FILES_A_TASK, source_files
 from loomgraph.storage import written
 
 _STRUCT = lambda columns: "struct<" + ", ".join(":".join(c.split(" ", 1)) for c in columns) + ">"
@@ -24,6 +26,8 @@ _RELATIONSHIP = (
     "struct<id:string,source_id:string,target_id:string,type:string,source_location:struct<file_id:string,line:int,col:int>,"
     "resolution:string,metadata:map<string,string>>"
 )
+#: Files whose rows a task holds at once.
+FILES_AT_ONCE = 200
 ANALYSIS = f"path string, symbols array<{_SYMBOL}>, relationships array<{_RELATIONSHIP}>, error string"
 
 
@@ -44,22 +48,28 @@ class PythonAnalyzer(LanguageAnalyzer):
 
 
 def analyze(files: DataFrame, analyzers: tuple[LanguageAnalyzer, ...] = (PythonAnalyzer(),)) -> DataFrame:
-    """``path, symbols, relationships, error`` for each file whose language has an analyzer; what one raises is its file's error."""
+    """``path, symbols, relationships, error`` for each file whose language has an analyzer; what one raises is its file's error.
+
+    A task analyses a partition of ``files`` as it is, so the caller sees to it that these hold few enough files."""
     by_language = {lang: a for a in analyzers for lang in a.languages}
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(StructType.fromDDL(ANALYSIS))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for f in batch.itertuples(index=False):
-                try:
-                    p = by_language[f.language].analyze(f.id, f.path, f.module, f.text)
-                except Exception as e:  # one file must not end the run; it is reported
-                    p = Parsed(error=f"{f.path}: {e}")
-                out.append((f.path, p.symbols, p.relationships, p.error))
-            yield pd.DataFrame(out, columns=["path", "symbols", "relationships", "error"])
+            for at in range(0, batch.num_rows, FILES_AT_ONCE):
+                out = []
+                for f in batch.slice(at, FILES_AT_ONCE).to_pylist():
+                    try:
+                        p = by_language[f["language"]].analyze(f["id"], f["path"], f["module"], f["text"])
+                    except Exception as e:  # one file must not end the run; it is reported
+                        p = Parsed(error=f"{f['path']}: {e}")
+                    edges = [{**r, "metadata": None if r.get("metadata") is None else list(r["metadata"].items())} for r in p.relationships]
+                    out.append((f["path"], p.symbols, edges, p.error))
+                yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*out), schema.types)], schema=schema)
 
     known = files.filter(F.col("language").isin(*by_language))
-    return known.select("id", "path", "language", "module", "text").mapInPandas(rows, ANALYSIS)
+    return known.select("id", "path", "language", "module", "text").mapInArrow(rows, ANALYSIS)
 
 
 def analyzed_graph(files: DataFrame, analysis: DataFrame) -> Graph:
@@ -127,7 +137,7 @@ def index(store: GraphStore, root: str, clear: bool = True, progress: Callable[[
         under = F.col("path").startswith(os.path.abspath(root).rstrip("/") + "/")
         removed = before.files.filter(under).join(files.select("path"), "path", "left_anti").select("id")
         files, _ = written(files.join(before.files.select("path", "content_hash"), ["path", "content_hash"], "left_anti").select(files.columns), "changed")
-    analysis, _ = written(analyze(files), "analysis")
+    analysis, _ = written(analyze(files.repartition(-(-discovered // FILES_A_TASK) or 1, "id")), "analysis")  # as read, one part may hold all files
     totals = analysis.agg(
         F.count_if(F.col("error").isNull()).alias("ok"), F.sum(F.size("symbols")).alias("symbols"), F.sum(F.size("relationships")).alias("relationships")
     ).first()

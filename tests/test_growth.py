@@ -48,3 +48,24 @@ def test_module_names_look_at_a_folder_once(tmp_path, monkeypatch):
     assert [tree.module_name(str(tmp_path / "a" / "b" / f), known) for f in ("x.py", "y.pyi")] == ["a.b.x", "a.b.y.pyi"]
     monkeypatch.setattr(os, "stat", None)
     assert tree.module_name(str(tmp_path / "a" / "b" / "z.py"), known) == "a.b.z"
+
+
+def test_analysis_hands_on_few_files_at_once(spark):
+    """Before, all files of a batch of 10,000 were held as rows of a table of nested Python objects."""
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators import ingest
+
+    files = generated.generated_files(spark, "/root/testdata/sf0.01").limit(600).coalesce(1)
+
+    class Counting(ingest.PythonAnalyzer):
+        def analyze(self, *file):
+            if file[1].endswith("7.py"):
+                raise ValueError("seven")
+            return super().analyze(*file)
+
+    plan = ingest.analyze(files, (Counting(),))
+    assert "MapInArrow" in plan._jdf.queryExecution().toString()
+    rows = plan.select("error", F.size("symbols").alias("s"), F.size("relationships").alias("r")).collect()
+    assert len(rows) == 600 and {(x.s, x.r) for x in rows} == {(7, 12), (0, 0)}
+    assert all((x.error or "").endswith(": seven") == (x.s == 0) for x in rows) and 0 < sum(x.s == 0 for x in rows) < 600
