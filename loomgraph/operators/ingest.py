@@ -172,11 +172,12 @@ def get_source(graph: Graph, symbol_id: str) -> SourceRange | None:
     return SourceRange(row.path, row.start_line, row.end_line, lines[max(0, row.start_line - 1) : min(len(lines), row.end_line)])
 
 
-def source_slices(symbols: DataFrame, texts: DataFrame) -> DataFrame:
-    """``id, file_path, start_line, end_line, lines`` for all symbols at once, from ``id, path, text`` of files."""
-    t = texts.select(F.col("id").alias("file"), F.col("path").alias("file_path"), "text")
+def source_slices(symbols: DataFrame, texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, file_path, start_line, end_line, lines`` for all symbols at once, from ``id, path, text`` of files; and what else
+    of the symbols is to be kept."""
     lines = F.split(F.regexp_replace("text", r"\n$", ""), "\n", -1)
-    joined = symbols.join(t, F.col("file_id") == F.col("file"))
+    t = texts.select(F.col("id").alias("file"), F.col("path").alias("file_path"), lines.alias("_lines"))
+    joined = symbols.join(t.hint("merge"), F.col("file_id") == F.col("file"))  # the planner's guess of texts' size may be far too low
     start = F.greatest(F.lit(1), F.col("start_line"))
     count = F.greatest(F.lit(0), F.col("end_line") - start + 1)
-    return joined.select("id", "file_path", "start_line", "end_line", F.slice(lines, start, count).alias("lines"))
+    return joined.select("id", "file_path", "start_line", "end_line", F.slice("_lines", start, count).alias("lines"), *keep)

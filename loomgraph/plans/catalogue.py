@@ -469,6 +469,5 @@ def index_totals(spark, sf_dir):
 @source_query("SELECT qualified_name, start_line, end_line, array_to_string(list_slice(string_split(text, chr(10)), start_line, end_line), chr(10)) AS body FROM symbols JOIN made USING (path)")
 def source_slice(spark, sf_dir):
     files, found = _analysis(spark, sf_dir)
-    slices = ingest.source_slices(found.select(F.inline("symbols")), files)
-    names = found.select(F.inline("symbols")).select("id", "qualified_name")
-    return slices.join(names, "id").select("qualified_name", "start_line", "end_line", F.array_join("lines", "\n").alias("body"))
+    slices = ingest.source_slices(found.select(F.inline("symbols")), files, keep=("qualified_name",))
+    return slices.select("qualified_name", "start_line", "end_line", F.array_join("lines", "\n").alias("body"))

@@ -69,3 +69,10 @@ def test_analysis_hands_on_few_files_at_once(spark):
     rows = plan.select("error", F.size("symbols").alias("s"), F.size("relationships").alias("r")).collect()
     assert len(rows) == 600 and {(x.s, x.r) for x in rows} == {(7, 12), (0, 0)}
     assert all((x.error or "").endswith(": seven") == (x.s == 0) for x in rows) and 0 < sum(x.s == 0 for x in rows) < 600
+
+
+def test_a_slice_is_made_of_one_analysis(spark):
+    from loomgraph.plans import catalogue
+
+    plan = catalogue.QUERIES["source_slice"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1
