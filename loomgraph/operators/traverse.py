@@ -51,7 +51,7 @@ def walk_rows(graph: Graph, start: str, direction: str = "out", depth: int = 3,
     if depth <= 0:
         return spark.createDataFrame([], _ROWS)
     if engine == "cte":
-        return _recursive(spark, reduce(DataFrame.unionByName, sides).distinct(), start, depth)
+        return _recursive(spark, reduce(DataFrame.unionByName, sides), start, depth)
     few: list[str] | None = [start]  # the frontier, while it is small
     past: set[str] | None = {start}  # all nodes so far, while there are few
     frontier, size, seen, levels = None, 0, None, []
@@ -86,19 +86,30 @@ def walk_rows(graph: Graph, start: str, direction: str = "out", depth: int = 3,
 
 
 def _recursive(spark, edges: DataFrame, start: str, depth: int) -> DataFrame:
+    """The recursion goes over nodes alone, once each a level, since edges to hot nodes would make it join these again and again;
+    the hops are then the edges out of what is reached. Its limit of rows, meant for endless ones, is lifted: depth ends it."""
     if depth > 90:
         raise ValueError("the recursive query is for depths up to 90; use the loop")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(from_id, symbol_id, depth, rel_type) AS (
-            SELECT CAST(NULL AS STRING), :start, 0, CAST(NULL AS STRING)
-            UNION ALL
-            SELECT DISTINCT w.symbol_id, e.dst, w.depth + 1, e.type FROM walk w JOIN {edges} e ON e.src = w.symbol_id WHERE w.depth < :depth)
-        SELECT * FROM walk WHERE depth > 0
-        """,
-        args={"start": start, "depth": depth},
-        edges=edges,
-    )
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit, None)
+    spark.conf.set(limit, "-1")
+    try:
+        walk = spark.sql(
+            """
+            WITH RECURSIVE walk(node, depth) AS (
+                SELECT :start, 0
+                UNION ALL
+                SELECT DISTINCT e.dst, w.depth + 1 FROM walk w JOIN {edges} e ON e.src = w.node WHERE w.depth < :depth - 1)
+            SELECT node, min(depth) AS depth FROM walk GROUP BY node
+            """,
+            args={"start": start, "depth": depth},
+            edges=edges.select("src", "dst"),
+        )
+        reached, size = written(walk, "recursion")  # while the limit is lifted
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
+    hops = edges.join(sized(reached, size), F.col("src") == F.col("node"))
+    return hops.select(F.col("src").alias("from_id"), F.col("dst").alias("symbol_id"), (F.col("depth") + 1).alias("depth"), F.col("type").alias("rel_type"))
 
 
 def _selected(rows: DataFrame, rel_types) -> DataFrame:

@@ -76,3 +76,22 @@ def test_a_slice_is_made_of_one_analysis(spark):
 
     plan = catalogue.QUERIES["source_slice"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1
+
+
+def test_the_recursive_walk_has_no_limit_of_rows(spark):
+    from loomgraph.operators import traverse
+    from loomgraph.operators.graph import Graph
+    from loomgraph.plans.schema import RELATIONSHIPS, SYMBOLS
+
+    edges = [("a", f"m{k}") for k in range(30)] + [(f"m{k}", f"z{j}") for k in range(30) for j in range(30)] + [("z0", "end")]
+    names = sorted({x for e in edges for x in e})
+    symbols = spark.createDataFrame([(n, n, n, "CLASS", "python", "f", 1, 2, "", None, "", False) for n in names], SYMBOLS)
+    rels = spark.createDataFrame([(f"{s}-{t}", s, t, "CALLS", None, "resolved", {}) for s, t in edges], RELATIONSHIPS)
+    g = Graph(spark.createDataFrame([], "id string"), symbols, rels)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        got = {(r.id, r.depth) for r in traverse.walk(g, "a", engine="cte").collect()}
+        assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "20"
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {(n, {"m": 1, "z": 2, "e": 3}[n[0]]) for n in names if n != "a"}
