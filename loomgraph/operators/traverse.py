@@ -40,8 +40,11 @@ def oriented(graph: Graph, direction: str, types=None) -> list[DataFrame]:
         return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "type")
 
     out = known(graph.relationships, "source_id", "target_id")
-    back = known(graph.incoming if graph.incoming is not None else graph.relationships, "target_id", "source_id")
-    return {"in": [back], "both": [out, back]}.get(direction, [out])
+    if direction not in ("in", "both"):
+        return [out]
+    laid = graph.incoming() if callable(graph.incoming) else graph.incoming
+    back = known(graph.relationships if laid is None else laid, "target_id", "source_id")
+    return [back] if direction == "in" else [out, back]
 
 
 def walk_rows(graph: Graph, start: str, direction: str = "out", depth: int = 3, rel_types=None, typed_frontier: bool = False, engine: str = "loop") -> DataFrame:

@@ -95,3 +95,22 @@ def test_the_recursive_walk_has_no_limit_of_rows(spark):
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     assert got == {(n, {"m": 1, "z": 2, "e": 3}[n[0]]) for n in names if n != "a"}
+
+
+def test_the_copy_by_target_is_made_when_asked_for_and_without_lost_edges(spark, tmp_path):
+    """Lost edges share the target '': as part of the copy, all of them came into one task."""
+    from loomgraph.operators import traverse
+    from loomgraph.plans.derived import stored_graph
+    from loomgraph.storage import shared_folder
+
+    place = tmp_path / "sf"
+    place.symlink_to("/root/testdata/sf0.001")
+    home = os.path.join(shared_folder(spark).removeprefix("file://"), f"graph-{spark.sparkContext.applicationId}")
+    made = lambda: sorted(x for x in os.listdir(home) if x.startswith("incoming-")) if os.path.exists(home) else []
+    before = made()
+    g = stored_graph(spark, str(place))
+    assert traverse.walk(g, "nation:3").count() > 0 and made() == before
+    assert traverse.walk(g, "part:7", direction="in").count() > 0 and traverse.walk(g, "part:7", direction="both").count() > 0
+    assert len(made()) == len(before) + 1
+    lost = g.relationships.filter("target_id = ''").count()
+    assert lost > 0 == g.incoming().filter("target_id = ''").count() and g.incoming().count() + lost == g.relationships.count()
